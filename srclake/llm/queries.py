@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srclake.llm import bpe, packing, simhash, substrings, topk, toxicity
+from srclake.llm import bpe, lines, packing, pii, quality, secrets, simhash, substrings, topk, toxicity
 from srclake.llm.common import documents
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.personal_data(documents(spark, sf_dir)))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), vocabulary), vocabulary)
@@ -33,6 +37,17 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and characters left of each document, and its kept text's digest."""
+    docs = documents(spark, sf_dir)
+    kept = lines.drop_recurring(docs.withColumn("n_chars", F.length("text").cast("long")))
+    return kept.select("doc_id", "n_chars", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out(F.col("doc_id"))))
@@ -40,16 +55,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest_columns(secrets.find_secrets(documents(spark, sf_dir)))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op5_topk": op5_topk,
+    "op6_lines": op6_lines,
+    "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
+    "op9_secrets": op9_secrets,
     "op10_substrings": op10_substrings,
 }
 

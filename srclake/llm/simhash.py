@@ -179,3 +179,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     of = materialise(fps.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "groups")
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(of.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame:
+    """The rows of docs(doc_id, text, ...), with all their columns, whose doc_id is their component's: of each group of
+    near-duplicates the one with the smallest doc_id. Rows without a doc_id stay. Repeated rows and rows with equal doc_ids
+    stay or go together. The rows that go are joined by doc_id; no text is shuffled where Spark can broadcast them."""
+    found = near_duplicates(docs.where("doc_id is not null"), shingle, radius)
+    stay = materialise(found.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("first < doc_id").select(F.col("doc_id").alias("gone")), "gone")
+    return docs.join(stay, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
