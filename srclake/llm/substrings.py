@@ -1,7 +1,9 @@
 """Substring dedup: word windows that also start in an earlier document, found behind a count-min prefilter.
 
+0. All windows of an exact copy of an earlier document's text start there. Copies are known by their digests and take no part
+   in what follows, so that a text in a third of all documents costs as much as one document.
 1. Every partition counts what its windows may share in a count-min sketch of its own; the sketches are merged block by
-   block. Equal windows of 50 words share the least hash of their 8-word grams, so one count for that hash (once a document)
+   block. Equal windows of 50 words share the least hash of their 32-word grams, so one count for that hash (once a document)
    is never below the number of documents that hold the window: the sketch overestimates and loses none.
 2. A second pass looks every window up and sends on only those whose estimate is two documents or more, with 128 bits of
    hash. Within a partition equal windows are settled at once, so that a passage in a third of all documents sends one row
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -27,8 +30,10 @@ from srclake.llm.common import materialise, text_bytes
 ROWS, BLOCK_BITS = 2, 16
 #: A row of the sketch has 2 ** bits cells; what is broadcast is a bit for each cell, 64 MB a row at most.
 LEAST_BITS, MOST_BITS = 16, 29
+#: Texts with copies that are broadcast at most, 24 bytes each: those with the most copies. Of others all copies take part.
+COPIED = 1 << 21
 #: Words of a gram; a window stands for its gram with the least hash.
-GRAM = 8
+GRAM = 32
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = {int(x): np.uint64(pow(int(x), -1, 1 << 64)) for x in (_A, _B)}
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -88,7 +93,43 @@ def _pack(row: int, cell: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, i
             yield row, int(block[a]), low[a:b].tobytes()
 
 
-def _sketch(width: int, bits: int, flush_at: int = 4_000_000):
+class Copies:
+    """The texts with copies that are broadcast: by 120 bits of their SHA-256, the smallest doc_id that has them."""
+
+    def __init__(self, k1: np.ndarray, k2: np.ndarray, first: np.ndarray):
+        order = np.argsort(k1)
+        self.k1, self.k2, self.first = k1[order], k2[order], first[order]
+
+    def later(self, doc: int | None, text: bytes) -> bool:
+        """Whether a smaller doc_id has the same text."""
+        if doc is None or not len(self.k1):
+            return False
+        key = hashlib.sha256(text).hexdigest()
+        k1, k2 = int(key[:15], 16), int(key[15:30], 16)
+        at = int(np.searchsorted(self.k1, k1))
+        while at < len(self.k1) and self.k1[at] == k1:
+            if self.k2[at] == k2:
+                return doc > int(self.first[at])
+            at += 1
+        return False
+
+
+def copied(rows: DataFrame, most: int = COPIED) -> Copies:
+    """Copies among rows(doc_id, text binary)."""
+    key = F.sha2("text", 256)
+    groups = rows.where("doc_id is not null").select(key.alias("k"), "doc_id").groupBy("k").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    groups = materialise(groups.where("first < last").select(F.conv(F.substring("k", 1, 15), 16, 10).cast("long").alias("k1"), F.conv(F.substring("k", 16, 15), 16, 10).cast("long").alias("k2"), "first", "n"), "copies")
+    sizes = sorted(((r["n"], r["groups"]) for r in groups.groupBy("n").agg(F.count("*").alias("groups")).collect()), reverse=True)  # distinct sizes only
+    least, sent = 1 << 62, 0
+    for n, g in sizes:
+        if sent + g > most:
+            break
+        least, sent = n, sent + g
+    table = groups.where(F.col("n") >= least).select("k1", "k2", "first").toArrow()
+    return Copies(*(table[c].to_numpy() for c in ("k1", "k2", "first")))
+
+
+def _sketch(copies, width: int, bits: int, flush_at: int = 4_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, who = [], 0, TaskContext.get().partitionId()
 
@@ -99,8 +140,11 @@ def _sketch(width: int, bits: int, flush_at: int = 4_000_000):
             return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(k, pa.int32()), pa.array([who] * len(r), pa.int32()), pa.array(p, pa.binary())], ["row", "block", "part", "payload"])
 
         for b in batches:
-            for text in b.column(0):
-                found = np.unique(anchors(word_hashes(text.as_py().split()), width))  # once for each document
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = text.as_py()
+                if doc is None or copies.value.later(doc, text):
+                    continue
+                found = np.unique(anchors(word_hashes(text.split()), width))  # once for each document
                 held.append(found)
                 n += len(found)
                 if n >= flush_at:
@@ -136,10 +180,10 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["row", "block", "flags"])
 
 
-def repeated_cells(rows: DataFrame, width: int, bits: int) -> np.ndarray:
-    """For each sketch row, a bit for every cell: whether it counted two or more. rows(text binary)."""
+def repeated_cells(rows: DataFrame, copies, width: int, bits: int) -> np.ndarray:
+    """For each sketch row, a bit for every cell: whether it counted two or more. rows(doc_id, text binary)."""
     schema = "row int, block int, part int, payload binary"
-    parts = rows.mapInArrow(_sketch(width, bits), schema)
+    parts = rows.mapInArrow(_sketch(copies, width, bits), schema)
     few = parts.withColumn("part", F.floor(F.col("part") / 64).cast("int")).repartition("row", "block", "part").mapInArrow(_merge, schema)
     merged = few.withColumn("part", F.lit(0)).repartition("row", "block").mapInArrow(_repeated, "row int, block int, flags binary")
     out = np.zeros((ROWS, (1 << bits) // 8), np.uint8)
@@ -152,10 +196,11 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _resolve(flags, width: int, bits: int):
+def _resolve(copies, flags, width: int, bits: int):
     """Of each row: doc_id, uid, words and, if none of its windows can repeat, its digest; else its text. Of windows that may
-    repeat: the earliest documents of the partition with their starts (h1, h2, starts), and starts that are settled here."""
-    schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64()), ("starts", pa.list_(pa.int32()))])
+    repeat: the earliest documents of the partition with their starts (h1, h2, start, or starts if
+    there are several), and starts that are settled here."""
+    schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("starts", pa.list_(pa.int32()))])
 
     def batch(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
@@ -176,20 +221,20 @@ def _resolve(flags, width: int, bits: int):
         h1, h2, doc, uid, start = (x[order] for x in (h1, h2, doc, uid, start))
         new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
         first = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
-        for late in (doc > first,):
-            u, s = uid[late], start[late]
-            by = np.lexsort((s, u))
-            u, s = u[by], s[by]
-            cuts = np.concatenate(([0], np.nonzero(np.diff(u))[0] + 1, [len(u)])) if len(u) else np.zeros(1, int)
-            if len(u):
-                yield batch(uid=u[cuts[:-1]], starts=lists(s, cuts))
+        late = np.nonzero(doc > first)[0]
+        if len(late):
+            late = late[np.lexsort((start[late], uid[late]))]
+            u = uid[late]
+            cuts = np.concatenate(([0], np.nonzero(np.diff(u))[0] + 1, [len(u)]))
+            yield batch(uid=u[cuts[:-1]], starts=lists(start[late], cuts))
         keep = doc == first
         h1, h2, doc, uid, start = (x[keep] for x in (h1, h2, doc, uid, start))
         cuts = np.concatenate(([0], np.nonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (uid[1:] != uid[:-1]))[0] + 1, [len(doc)]))
         for a in range(0, len(cuts) - 1, 100_000):
             c = cuts[a : a + 100_001]
-            at = c[:-1]
-            yield batch(doc_id=doc[at], uid=uid[at], h1=h1[at].view(np.int64), h2=h2[at].view(np.int64), starts=lists(start[c[0] : c[-1]], c - c[0]))
+            at, many = c[:-1], np.diff(c) > 1
+            full = lists(start[c[0] : c[-1]], c - c[0])
+            yield batch(doc_id=doc[at], uid=uid[at], h1=h1[at].view(np.int64), h2=h2[at].view(np.int64), start=start[at], starts=pc.if_else(pa.array(many), full, pa.nulls(len(at), full.type)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -200,14 +245,17 @@ def _resolve(flags, width: int, bits: int):
                 uid += 1
                 text = text.as_py()
                 words = text.split()
+                if len(words) >= width and copies.value.later(doc, text):
+                    out.append((doc, uid, len(words), len(words), _digest([]), None))
+                    continue
                 x = word_hashes(words)
                 at = np.nonzero(maybe(anchors(x, width)))[0] if doc is not None else []
                 if len(at):
                     n = len(at)
                     held.append((rolling(x, width, _A)[at], rolling(x, width, _B)[at], np.full(n, doc), np.full(n, uid), at.astype(np.int32)))
                     waiting += n
-                out.append((doc, uid, len(words), None if len(at) else _digest(words), text if len(at) else None))
-            yield batch(**dict(zip(("doc_id", "uid", "n_words", "kept_sha256", "text"), map(list, zip(*out))))) if out else batch(doc_id=[])
+                out.append((doc, uid, len(words), 0, None if len(at) else _digest(words), text if len(at) else None))
+            yield batch(**dict(zip(("doc_id", "uid", "n_words", "n_removed", "kept_sha256", "text"), map(list, zip(*out))))) if out else batch(doc_id=[])
             if waiting > 2_000_000:
                 yield from settle(held)
                 held, waiting = [], 0
@@ -236,8 +284,8 @@ def _cut(width: int):
 
 
 def sketch_bits(n_bytes: int) -> int:
-    """About four cells for each count: a window adds one new anchor in twenty words or so, a word has six bytes or so."""
-    return min(max(int(n_bytes / 120 * 4).bit_length(), LEAST_BITS), MOST_BITS)
+    """About four cells for each count: a window adds one new anchor in ten words or so, a word has six bytes or so."""
+    return min(max(int(n_bytes / 60 * 4).bit_length(), LEAST_BITS), MOST_BITS)
 
 
 def repeated_passages(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -248,21 +296,23 @@ def repeated_passages(docs: DataFrame, width: int = 50) -> DataFrame:
     whose doc_id is null, and rows with equal doc_ids, take nothing from each other. Texts with fewer words than a window
     lose nothing. Other columns are ignored, whatever their names; empty input gives an empty result.
 
-    The sketch grows with the text up to 2 ** MOST_BITS cells a row; beyond some 60 GB of text its estimates rise and the
+    The sketch grows with the text up to 2 ** MOST_BITS cells a row; beyond some 30 GB of text its estimates rise and the
     second pass sends on more windows, but the result stays the same.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     bits = sketch_bits(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
-    flags = docs.sparkSession.sparkContext.broadcast(repeated_cells(rows.select("text"), width, bits))
-    schema = "doc_id long, uid long, n_words long, kept_sha256 string, text binary, h1 long, h2 long, starts array<int>"
-    found = materialise(rows.mapInArrow(_resolve(flags, width, bits), schema), "windows")
-    hashed = found.where("h1 is not null").select("h1", "h2", "doc_id", "uid", "starts")
+    sc = docs.sparkSession.sparkContext
+    copies = sc.broadcast(copied(rows))
+    flags = sc.broadcast(repeated_cells(rows, copies, width, bits))
+    schema = "doc_id long, uid long, n_words long, n_removed long, kept_sha256 string, text binary, h1 long, h2 long, start int, starts array<int>"
+    found = materialise(rows.mapInArrow(_resolve(copies, flags, width, bits), schema), "windows")
+    hashed = found.where("h1 is not null").select("h1", "h2", "doc_id", "uid", "start", "starts")
     # At most one document's rows for each partition of the input share a hash.
     first = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
-    late = hashed.withColumn("first", first).where("doc_id > first").select("uid", "starts")
+    late = hashed.withColumn("first", first).where("doc_id > first").select("uid", F.coalesce("starts", F.array("start")).alias("starts"))
     late = late.unionByName(found.where("h1 is null and starts is not null").select("uid", "starts"))
     starts = late.groupBy("uid").agg(F.collect_list("starts").alias("starts"))
     open_rows = found.where("text is not null").select("uid", "doc_id", "text").join(starts, "uid", "left").select("doc_id", "text", "starts")
     cut = open_rows.mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string")
-    done = found.where("kept_sha256 is not null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept"), "kept_sha256")
+    done = found.where("kept_sha256 is not null").select("doc_id", "n_words", "n_removed", F.when(F.col("n_removed") > 0, "").alias("kept"), "kept_sha256")
     return done.unionByName(cut.withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept").cast("string"))))
