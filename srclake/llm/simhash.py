@@ -9,6 +9,7 @@ radius are skipped, the others are compared in full. The result is exact for any
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -115,37 +116,14 @@ def link_cell(fp: np.ndarray, side: np.ndarray | None, radius: int) -> tuple[np.
 
 def _link(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("part", "bits", "a", "b")], axis=1)
-            fp, side = rows["fp"].to_numpy().view(np.uint64), rows["side"].to_numpy()
-            cuts = np.concatenate(([0], np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1, [len(fp)]))
-            us, vs = [], []
-            for s in np.nonzero(np.diff(cuts) > 1)[0]:
-                at = slice(cuts[s], cuts[s + 1])
-                u, v = link_cell(fp[at], side[at] if key[cuts[s], 2] != key[cuts[s], 3] else None, radius)
-                us.append(u)
-                vs.append(v)
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], ["u", "v"])
-
-        # Rows come in order of cells; a cell holds at most two groups, so what is held between batches is bounded.
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            rows = pa.Table.from_batches(held).combine_chunks()
-            last = [rows[c][-1].as_py() for c in ("part", "bits", "a", "b")]
-            same = np.ones(rows.num_rows, bool)
-            for c, x in zip(("part", "bits", "a", "b"), last):
-                same &= rows[c].to_numpy() == x
-            n = int(rows.num_rows - same.sum())
-            if n:
-                yield from flush(rows.slice(0, n))
-            held = rows.slice(n).combine_chunks().to_batches()
-        if held:
-            yield from flush(pa.Table.from_batches(held).combine_chunks())
+        # Rows come in order of cells; a cell holds at most two groups, so what is held at a time is bounded.
+        for cell in _groups(batches, ("part", "bits", "a", "b")):
+            if len(cell) > 1:
+                fp, side = cell["fp"].to_numpy().view(np.uint64), cell["side"].to_numpy()
+                split = cell["a"][0].as_py() != cell["b"][0].as_py()
+                u, v = link_cell(fp, side if split else None, radius)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     return run
 
@@ -181,10 +159,157 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     return rows.join(of.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of docs(doc_id, text, ...), with all their columns, whose doc_id is their component's: of each group of
-    near-duplicates the one with the smallest doc_id. Rows without a doc_id stay. Repeated rows and rows with equal doc_ids
-    stay or go together. The rows that go are joined by doc_id; no text is shuffled where Spark can broadcast them."""
-    found = near_duplicates(docs.where("doc_id is not null"), shingle, radius)
-    stay = materialise(found.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("first < doc_id").select(F.col("doc_id").alias("gone")), "gone")
-    return docs.join(stay, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+#: Near texts in the sense of shared shingles: hashes of which one must agree for two texts to be compared, and the bits in
+#: which their fingerprints differ at most. Of texts with a similarity of 0.8 some 0.2 ** HASHES agree in none, and one in
+#: some thousands differs in more bits.
+HASHES, WIDE = 8, 20
+
+
+def _shingles(text: bytes, shingle: int) -> np.ndarray:
+    words = text.lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _sketches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = np.array([xxhash.xxh64_intdigest(b"%d" % k) | 1 for k in range(HASHES)], np.uint64)
+        for b in (x.slice(a, 512) for x in batches for a in range(0, x.num_rows, 512)):
+            out = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = text.as_py()
+                own = _shingles(text, shingle)
+                low = [int((((own ^ t) * t) ^ (((own ^ t) * t) >> np.uint64(32))).min()) >> 1 if len(own) else 0 for t in turn]
+                out.append((doc, int.from_bytes(hashlib.sha256(text).digest()[:8], "little", signed=True), _signed(fingerprint(text, shingle)), low, own.astype(np.uint32).tobytes()))
+            doc, key, fp, low, own = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((doc, pa.int64()), (key, pa.int64()), (fp, pa.int64()), (low, pa.list_(pa.int64())), (own, pa.binary()))], ["doc_id", "key", "fp", "low", "own"])
+
+    return run
+
+
+def nearest_before(fp: np.ndarray, first: np.ndarray, side: np.ndarray | None, radius: int) -> np.ndarray:
+    """For each row the place of the nearest fingerprint, within the radius, among rows with a smaller `first`; else -1."""
+    order = np.argsort(np.bitwise_count(fp), kind="stable")
+    x, f, s = fp[order], first[order], None if side is None else side[order]
+    count = np.bitwise_count(x).astype(np.int16)
+    best, where = np.full(len(fp), radius + 1, np.int16), np.full(len(fp), -1)
+
+    def update(i: slice, j: slice, d: np.ndarray) -> None:
+        d = np.where(f[j][None, :] < f[i][:, None], d, radius + 1)
+        k = d.argmin(axis=1)
+        d = d[np.arange(len(k)), k]
+        better = d < best[i]
+        best[i] = np.where(better, d, best[i])
+        where[i] = np.where(better, k + j.start, where[i])
+
+    for a in range(0, len(fp), TILE):
+        i = slice(a, min(a + TILE, len(fp)))
+        for b in range(a, len(fp), TILE):
+            j = slice(b, min(b + TILE, len(fp)))
+            if count[j][0] - count[i][-1] > radius:
+                break
+            d = np.bitwise_count(x[i, None] ^ x[None, j]).astype(np.int16)
+            if s is not None:
+                d[s[i, None] == s[None, j]] = radius + 1
+            update(i, j, d)
+            if b > a:
+                update(j, i, d.T)
+    out = np.full(len(fp), -1)
+    out[order] = np.where(where >= 0, order[where], -1)
+    return out
+
+
+def _partners(radius: int):
+    """Cells come as in _link, and each is dealt with by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _groups(batches, ("cell", "a", "b")):
+            fp, key = cell["fp"].to_numpy().view(np.uint64), cell["key"].to_numpy()
+            if len(fp) < 2:
+                continue
+            split = cell["a"][0].as_py() != cell["b"][0].as_py()
+            to = nearest_before(fp, cell["first"].to_numpy(), cell["side"].to_numpy() if split else None, radius)
+            if (to >= 0).any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[to >= 0]), pa.array(key[to[to >= 0]])], ["u", "v"])
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The runs of rows with equal columns, of rows in that order."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, b]).combine_chunks()
+        key = np.stack([rows[c].to_numpy().astype(np.int64) for c in columns], axis=1)
+        cuts = np.concatenate(([0], np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1))
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            yield rows.slice(x, y - x)
+        held = rows.slice(cuts[-1]).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _verify(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both = len(np.intersect1d(x, y))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
+    """(doc_id, component_id): a row for each row of docs(doc_id, text, ...) with a doc_id; component_id is the smallest
+    doc_id that is reached by links between texts whose sets of `shingle`-word shingles have a Jaccard similarity of
+    `similarity` or more.
+
+    Texts that agree in one of HASHES least shingle hashes are in a cell, where tiles of SimHash fingerprints are compared as
+    in near_duplicates, with a wide radius; each text is linked to its nearest earlier one of each cell, so there is one
+    pair for each text and cell and not one for each two copies. Pairs are then checked on their shingle sets. A text is
+    missed only if none of its nearest is similar while a further one is. Cells of more than CELL texts are parted by
+    a second least hash, and what is still larger is cut into a grid. Equal texts are one text throughout. Null text is
+    empty; texts without words are similar to each other only. Empty input gives an empty result.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    rows = materialise(rows.mapInArrow(_sketches(shingle), "doc_id long, key long, fp long, low array<long>, own binary"), "sketches")
+    texts = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("low").alias("low")), "texts")
+    cells = texts.select("key", "first", "fp", "low", F.posexplode("low").alias("k", "h")).withColumn("cell", F.xxhash64("k", "h"))
+    sizes = materialise(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
+    light = cells.join(sizes.where(F.col("n") <= CELL).select("cell"), "cell", "left_semi").select("cell", "key", "first", "fp")
+    heavy = cells.join(sizes.where(F.col("n") > CELL).select("cell"), "cell", "left_semi")
+    heavy = heavy.select("key", "first", "fp", "cell", "k", F.posexplode("low").alias("k2", "h2")).where("k < k2").withColumn("cell", F.xxhash64("cell", "k2", "h2")).select("cell", "key", "first", "fp")
+    again = materialise(heavy, "heavy")
+    grid = again.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.greatest(F.lit(1), F.when(F.col("n") > CELL, F.ceil(2 * F.col("n") / CELL)).otherwise(1)).cast("int").alias("g"))
+    dealt = light.withColumn("g", F.lit(1)).unionByName(again.join(grid, "cell"))
+    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("key"), F.col("g")).cast("int")).select("cell", "key", "first", "fp", "s", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("t"))
+    dealt = dealt.select("cell", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "key", "first", "fp", (F.col("s") > F.col("t")).cast("byte").alias("side"))
+    pairs = dealt.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(_partners(radius), "u long, v long").distinct()
+    pairs = materialise(pairs, "pairs")
+    sets = rows.join(texts.select(F.col("key"), F.col("first").alias("doc_id")), ["key", "doc_id"]).groupBy("key").agg(F.first("own").alias("own"))
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    sets = materialise(sets.join(needed, "key", "left_semi"), "sets")
+    with_sets = pairs.join(sets.select(F.col("key").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("key").alias("v"), F.col("own").alias("y")), "v")
+    links = with_sets.select("u", "v", "x", "y").mapInArrow(_verify(similarity), "u long, v long")
+    groups = components(links).withColumnsRenamed({"node": "key", "component": "root"})
+    of = materialise(texts.select("key", "first").join(groups, "key", "left").withColumn("root", F.coalesce("root", "key")), "groups")
+    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.select("doc_id", "key").join(of.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs(doc_id, text, ...), with all their columns, of each group of near-duplicates those with the smallest
+    doc_id. Rows without a doc_id stay. Repeated rows and rows with equal doc_ids stay or go together. The doc_ids that go
+    are joined; no text is shuffled where Spark finds them small enough to broadcast."""
+    found = similar_documents(docs, shingle, similarity)
+    gone = materialise(found.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("first < doc_id").select(F.col("doc_id").alias("gone")), "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
