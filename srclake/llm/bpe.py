@@ -9,7 +9,7 @@ boundaries. The slices between them go through a cache of merged pieces.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ FREE, JOINED, ONE_LEFT, TWO_LEFT = range(4)
 #: Letters that follow an apostrophe in a contraction.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Codepoints that are scanned together, and pieces that a worker keeps merged.
-CHUNK, CACHE = 1_000_000, 400_000
+CHUNK, CACHE = 1_000_000, 600_000
 
 
 def _function(to: dict[int, int]) -> int:
@@ -77,11 +77,12 @@ def classes() -> np.ndarray:
     if _classes is None:
         import tiktoken
 
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         table = np.full(0x110000, REST, np.uint8)
         for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", OTHER_SPACE)):
             e = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-            table[np.frombuffer(e.decode(e.encode_ordinary(every)).encode("utf-32-le"), np.uint32)] = kind
+            for low in range(0, 0x110000, 0x4000):
+                some = "".join(map(chr, (i for i in range(low, low + 0x4000) if not 0xD800 <= i < 0xE000)))
+                table[np.frombuffer(e.decode(e.encode_ordinary(some)).encode("utf-32-le"), np.uint32)] = kind
         table[0x20] = SPACE
         _classes = table
     return _classes
@@ -148,9 +149,8 @@ class Merger(dict):
 
     def __missing__(self, piece: bytes) -> bytes:
         ids = np.array(merge(piece, self.ranks), np.int32).tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        self[piece] = ids
+        if len(self) < CACHE:  # what comes first is mostly what is common
+            self[piece] = ids
         return ids
 
 
@@ -209,7 +209,7 @@ def _merger(key: str, ranks) -> Merger:
     return _mergers[key]
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
+def _chunks(texts: Iterable[str]) -> Iterator[list[str]]:
     held, n = [], 0
     for t in texts:
         if held and n + len(t) > CHUNK:
@@ -233,38 +233,50 @@ def _vocabulary(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(size) - size, size
 
 
-def _encode(key: str, ranks):
+def _placed(ids: np.ndarray, ends: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+    """The bytes of ids, each placed by its end."""
+    n = size[ids]
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[ids] - (ends - n), n)].tobytes()
+
+
+def _encode(key: str, ranks, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _merger(key, ranks)
-        size = _vocabulary(ranks.value)[1]
+        start, size = _vocabulary(ranks.value)
+        flat = np.frombuffer(b"".join(sorted(ranks.value, key=ranks.value.get)), np.uint8)
         for b in batches:
             done = 0
-            for texts in _chunks([x.decode("utf-8", "replace") for x in b.column(1).to_pylist()]):
+            for texts in _chunks(x.as_py().decode("utf-8", "replace") for x in b.column(1)):
                 found, count = pieces(texts)
                 packed = list(map(merger.__getitem__, found))
                 ids = np.frombuffer(b"".join(packed), np.int32)
                 cut = np.concatenate(([0], np.cumsum(count)))
                 total = np.concatenate(([0], np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4)))[cut]
+                del found, packed
                 tokens = np.diff(total)
                 end = np.concatenate(([0], np.cumsum(size[ids])))
                 ends = (end[1:] - np.repeat(end[total[:-1]], tokens)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(texts)), _lists(ids, tokens), _lists(ends, tokens)], ["doc_id", "ids", "ends"])
+                columns = [b.column(0).slice(done, len(texts)), _lists(ids, tokens), _lists(ends, tokens)]
+                if decoded:
+                    columns.append(pa.array([_placed(ids[a:z], ends[a:z], flat, start, size) for a, z in zip(total[:-1], total[1:])], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "ends", "decoded"][: len(columns)])
                 done += len(texts)
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, ids array<int>, ends array<int>): a row for each row of docs(doc_id, text, ...).
+def encode(docs: DataFrame, vocabulary: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>, ends array<int>[, decoded binary]): a row for each row of docs(doc_id, text, ...).
 
     ids are those of tiktoken's encode_ordinary with the ranks of the file `vocabulary` and the pattern of byte-level BPE;
-    ends are the byte offsets in the text at which each id's bytes end. Null and empty text give empty arrays. Rows stay as
-    they are, repeated or not; other columns are ignored. The ranks, some hundred thousand short strings at most, are
-    broadcast; the file is read on the driver only.
+    ends are the byte offsets in the text at which each id's bytes end. decoded: also decode the ids, in the same pass over
+    the data. Null and empty text give empty arrays. Rows stay as they are, repeated or not; other columns are ignored;
+    empty input gives an empty result. The ranks, some hundred thousand short strings at most, are broadcast; the file is
+    read on the driver only. A worker holds a million codepoints at a time, or one text.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return rows.mapInArrow(_encode(vocabulary, ranks), "doc_id long, ids array<int>, ends array<int>")
+    return rows.mapInArrow(_encode(vocabulary, ranks, decoded), "doc_id long, ids array<int>, ends array<int>" + ", decoded binary" * decoded)
 
 
 def _decode(ranks):
@@ -272,14 +284,11 @@ def _decode(ranks):
         flat = np.frombuffer(b"".join(sorted(ranks.value, key=ranks.value.get)), np.uint8)
         start, size = _vocabulary(ranks.value)
         for b in batches:
-            column = b.column(b.schema.get_field_index("ids")), b.column(b.schema.get_field_index("ends"))
-            out = []
-            for ids, ends in zip(*column):
-                ids, ends = ids.values.to_numpy(), ends.values.to_numpy()
-                n = size[ids]
-                place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[ids] - (ends - n), n)
-                out.append(flat[place].tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
+            for a in range(0, b.num_rows, 256):
+                some = b.slice(a, 256)
+                lists = (some.column(some.schema.get_field_index(c)) for c in ("ids", "ends"))
+                out = [_placed(i.values.to_numpy(), e.values.to_numpy(), flat, start, size) for i, e in zip(*lists)]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(out, pa.binary())], [*some.schema.names, "decoded"])
 
     return run
 

@@ -18,7 +18,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), vocabulary), vocabulary)
+    decoded = bpe.encode(documents(spark, sf_dir), vocabulary, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
