@@ -11,7 +11,7 @@ def odd_rows():
     rng = random.Random(4)
     long = prose(rng, 30_000)
     twice = prose(rng, 120)
-    return [(1, None), (2, ""), (3, " \n\t "), (4, long), (5, twice), (5, twice), (6, twice), (6, "other text"), (None, twice), (7, "a" * 3000), (8, "x y " * 200), (9, twice[:300] + " end")]
+    return [(1, None), (2, ""), (3, " \n\t "), (4, long), (5, twice), (5, twice), (6, twice), (6, "other text"), (None, twice), (7, "z" * 3000), (8, "x y " * 200), (9, twice[:300] + " end")]
 
 
 @pytest.fixture(scope="session")
