@@ -80,7 +80,9 @@ def run_shards(store: Store, batch_id: str, task_id: str, shards: list[str]) ->
     blocked = file_ops.open_dependencies(store.tasks(batch_id), states).where((F.col("task_id") == task_id) & F.col("shard_id").isin(shards)).first()
     if blocked:
         raise EngineError("COMMAND_ERROR", reason=f"{task_id} needs {blocked['dependency']} of shard {blocked['shard_id']}")
-    own = states.where((F.col("task_id") == task_id) & F.col("shard_id").isin(shards)).select("batch_id", "task_id", "shard_id", (F.col("attempt") + 1).alias("attempt")).cache()
+    # 256 rows at most, and fixed: what follows adds to the table that they come from.
+    now = states.where((F.col("task_id") == task_id) & F.col("shard_id").isin(shards)).select("batch_id", "task_id", "shard_id", (F.col("attempt") + 1).alias("attempt"))
+    own = store.spark.createDataFrame(now.collect(), now.schema)
     began = time.time()
     store.set_states(own.withColumns({"status": F.lit("running"), "started_at": F.current_timestamp()}))
     store.log(batch_id, "shard_started", own.drop("batch_id"))
@@ -101,8 +103,6 @@ def run_shards(store: Store, batch_id: str, task_id: str, shards: list[str]) ->
         store.set_states(own.withColumns({"status": F.lit("failed"), "completed_at": F.current_timestamp(), "error": error}))
         store.log(batch_id, "shard_failed", own.drop("batch_id").withColumn("error", error))
         return "failed"
-    finally:
-        own.unpersist()
 
 
 def reset(store: Store, batch_id: str, task_id: str, shard_id: str) -> None:
