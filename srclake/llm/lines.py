@@ -20,14 +20,16 @@ from srclake.llm.native import let
 #: Leading tokens of a leaf; different places in which a template recurs, and their least share, in per cent, of the
 #: different texts that it is in; least share of a line's tokens, in per cent, that are as in the leaf's template.
 LEAD, LEAST, PLACES, ALIKE = 3, 5, 30, 70
-_FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
-_SPACE = r"[\x20\x09-\x0D]+"
+#: A token with a digit; white space within a line that is not one space between tokens.
+_FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+_ODD_SPACE, _SPACE = r"[\x09\x0B-\x0D]|\x20\x20", r"[\x20\x09\x0B-\x0D]+"
 
 
-def _masked(line: Column) -> Column:
-    """The line with one space between tokens and <*> for tokens with digits."""
-    plain = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
-    return F.btrim(F.regexp_replace(plain, _SPACE, " "))
+def _masked(text: Column) -> Column:
+    """The lines of a text, with one space between tokens and <*> for tokens with digits."""
+    plain = F.when(text.rlike("[0-9]"), F.regexp_replace(text, _FIELD, "<*>")).otherwise(text)
+    even = let(plain, lambda t: F.when(t.rlike(_ODD_SPACE), F.regexp_replace(t, _SPACE, " ")).otherwise(t))
+    return F.transform(F.split(even, "\n", -1), lambda x: F.btrim(x))
 
 
 def _lead(masked: Column) -> Column:
@@ -37,7 +39,6 @@ def _lead(masked: Column) -> Column:
 def _leaves(text: Column) -> Column:
     """array<struct<line int, leaf long, full long, place long>> of the lines with a word: the leaf by number of tokens and
     first tokens, the whole masked line and what stands around it, as hashes."""
-    lines = F.split(text, "\n", -1)
 
     def of(masked: Column) -> Column:
         lead = F.transform(masked, _lead)
@@ -50,7 +51,7 @@ def _leaves(text: Column) -> Column:
         )
         return let(lead, lambda g: F.filter(F.transform(masked, item(g)), lambda x: x["masked"] != ""))
 
-    return let(F.transform(lines, _masked), of)
+    return let(_masked(text), of)
 
 
 def _key(text: Column) -> list[Column]:
@@ -59,9 +60,10 @@ def _key(text: Column) -> list[Column]:
 
 
 def _counted(rows: DataFrame, key: str) -> DataFrame:
-    """The values of `key` that recur. rows(key, place, k1): a line in a text. Sets of places would grow without bound, so
-    first the different places are counted in an aggregation of their own."""
-    places = rows.groupBy(key, "place").agg(F.approx_count_distinct("k1", 0.02).alias("texts"))
+    """The values of `key` that recur. rows(key, place, k1): a line in a text. A text counts once, with one of its places;
+    sets of places would grow without bound, so each step is a partial aggregation."""
+    once = rows.groupBy(key, "k1").agg(F.min("place").alias("place"))
+    places = once.groupBy(key, "place").agg(F.count("*").alias("texts"))
     counts = places.groupBy(key).agg(F.count("*").alias("places"), F.sum("texts").alias("texts"))
     return counts.where((F.col("places") >= LEAST) & (100 * F.col("places") >= PLACES * F.col("texts"))).select(key)
 
