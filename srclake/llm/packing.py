@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from srclake.llm.common import materialise, text_bytes
 
 SIZE, END = 4096, 2
 #: Words of which a worker keeps the ids.
-CACHE = 400_000
+CACHE = 1_000_000
 #: Ranks are dealt within so many parts of a length, so that a common length does not meet in one task.
 PARTS = 64
 
@@ -52,63 +53,113 @@ def pack_histogram(histogram: dict[int, int], size: int = SIZE) -> list[tuple[in
 
 
 _encoders: dict[str, Encoder] = {}
+#: Words of these letters alone are one token run each, and mean the same in lower case; other characters that may follow.
+_PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_AFTER = b".,!?;:*$%&#|"
 
 
 class Encoder(dict):
-    """word -> its ids as 32-bit bytes. The tokenizer drops white space and no token spans it, so words can be kept apart."""
+    """word -> its ids as 32-bit bytes. The tokenizer drops white space and no token spans it, so words can be kept apart.
+
+    Words that are new are encoded together: those of plain letters, in lower case and without what follows them, in one
+    call, whose ids fall apart after each end-of-word token."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_str(spec).encode_batch_fast
-
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            missing = list({w for w in words if w not in self})
-            if len(self) + len(missing) > CACHE:
-                self.clear()
-                missing = list(set(words))
-            new = {}
-            for at in range(0, len(missing), 4096):
-                some = missing[at : at + 4096]
-                for w, e in zip(some, self.encode([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                    new[w] = np.array(e.ids, np.uint32).tobytes()
-            self.update(new)
-            return b"".join(map(self.__getitem__, words))
-
-
-def _pieces(key: str, spec, size: int, end: int):
+        self.waiting: dict[bytes, bytearray] = {}
+        tokenizer = Tokenizer.from_str(spec)
+        self.encode = tokenizer.encode_batch_fast
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def __missing__(self, word: bytes) -> bytearray:
+        """A place for the ids, which are written into it later."""
+        return self.waiting.setdefault(word, bytearray())
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Of each text. When the cache is full, what is in it stays, which is mostly what is common."""
+        get = self.__getitem__
+        found = [list(map(get, t.split())) for t in texts]
+        if self.waiting:
+            places, self.waiting = self.waiting, {}
+            full = len(self) >= CACHE
+            added = self.add(places)
+            for word, place in places.items():
+                place += self[word]
+            if full:
+                for w in {w for some in added for w in some}:
+                    del self[w]
+        return [b"".join(f) for f in found]
+
+    def add(self, new: Iterable[bytes]) -> tuple[Iterable[bytes], ...]:
+        """Encodes new words; returns all that it adds, words without what follows them included."""
+        parts, plain, other = [], set(), set()
+        for w in new:
+            core = w.rstrip(_AFTER)
+            letters = core.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(letters):
+                core, tail = letters.lower().encode(), w[len(core) :]
+                parts.append((w, core, tail))
+                if core not in self:
+                    plain.add(core)
+                if tail and tail not in self:
+                    other.add(tail)
+            else:
+                other.add(w)
+        plain, other = list(plain), list(other)
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            ids = np.array(self.encode([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            cut = (4 * (np.nonzero(self.ends[ids])[0] + 1)).tolist()
+            data = ids.tobytes()
+            assert len(cut) == len(some), "each plain word ends in one end-of-word token"
+            self.update(zip(some, (data[a:b] for a, b in zip([0, *cut], cut))))
+        for at in range(0, len(other), 4096):
+            some = other[at : at + 4096]
+            for w, e in zip(some, self.encode([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
+                self[w] = np.array(e.ids, np.uint32).tobytes()
+        for w, core, tail in parts:
+            self[w] = self[core] + self[tail] if tail else self[core]
+        return plain, other, new
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
+def _pieces(key: str, spec, size: int, end: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _encoders:
             _encoders.clear()
             _encoders[key] = Encoder(spec.value)
         encoder, last = _encoders[key], np.array([end], np.uint32).tobytes()
-        for b in batches:
+        for b in _slices(batches):
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encoder.ids(text.as_py()) + last
+            for doc, ids in zip(b.column(0).to_pylist(), encoder.ids(b.column(1).to_pylist())):
+                ids += last
                 n = len(ids) // 4
                 for a in range(0, n, size):
                     piece = ids[4 * a : 4 * (a + size)]
-                    out.append((doc, a, len(piece) // 4, zlib.crc32(piece), n, piece))
+                    out.append((doc, a, len(piece) // 4, zlib.crc32(piece), n, piece if keep else None))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[]] * 6, (*[pa.int64()] * 5, pa.binary()))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, keep: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens long, ids binary) for each piece of each row of docs: its ids, followed
-    by the id `end`, cut after every `size` ids. ids are 32-bit little-endian. tokenizer: a file of the tokenizers library,
+    by the id `end`, cut after every `size` ids. ids are 32-bit little-endian, and null unless `keep`. tokenizer: a file of the tokenizers library,
     read on the driver only."""
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer, spec, size, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    return rows.mapInArrow(_pieces(tokenizer, spec, size, end, keep), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
 def _place(plan):
@@ -149,5 +200,5 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> D
     pattern of packs, and a pack takes as many ranges as it has pieces, so its size follows from the histogram alone and
     not from the number of documents.
     """
-    found = token_pieces(docs, tokenizer, size, end).drop("ids")
+    found = token_pieces(docs, tokenizer, size, end, keep=False).drop("ids")
     return place(materialise(found, "pieces"), size)
