@@ -76,7 +76,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substrings": op10_substrings,
 }
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_quality": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+             g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS three FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+             c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, three) AS n FROM g),
+             r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM c WHERE n > 1) GROUP BY doc_id),
+             m AS (SELECT d.doc_id, t, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS x, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
+             f AS (SELECT *, len(x) - len(list_distinct(x)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR 100 * n_symbols > 25 * n_words OR (len(x) >= 4 AND 2 * n_dup_lines > len(x)) OR word_chars > 20 * n_words OR word_chars < 2 * n_words
+                    OR 10 * length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) > 4 * length(regexp_replace(t, '[^\p{{L}}]+', '', 'g'))) AS kept FROM f
+    """,
+    "op10_substrings": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+             g AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS fifty FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+             f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY fifty) AS first FROM g),
+             r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM f WHERE first < doc_id),
+             p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+             k AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.j) AS kept FROM p ANTI JOIN r ON r.doc_id = p.doc_id AND r.j = p.j GROUP BY p.doc_id),
+             n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
     "op5_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
