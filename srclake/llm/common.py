@@ -42,3 +42,13 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
 def text_bytes(name: str = "text") -> Column:
     """The text as UTF-8 bytes; null counts as empty. Binary crosses to Python without decoding."""
     return F.coalesce(F.col(name).cast("string").cast("binary"), F.lit(b""))
+
+
+#: Rows of a narrow table that are broadcast by hand at most.
+FEW = 1 << 20
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, to be broadcast if it has `most` rows or fewer; beyond that it is joined as Spark plans it. For tables of a few
+    numbers a row that are stored already, so that counting them is cheap."""
+    return F.broadcast(df) if df.count() <= most else df

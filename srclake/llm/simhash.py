@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srclake.llm.common import materialise, text_bytes
+from srclake.llm.common import few, materialise, text_bytes
 from srclake.llm.components import components
 
 SEED = 42
@@ -295,9 +295,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     dealt = dealt.select("cell", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "key", "first", "fp", (F.col("s") > F.col("t")).cast("byte").alias("side"))
     pairs = dealt.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(_partners(radius), "u long, v long").distinct()
     pairs = materialise(pairs, "pairs")
-    sets = rows.join(texts.select(F.col("key"), F.col("first").alias("doc_id")), ["key", "doc_id"]).groupBy("key").agg(F.first("own").alias("own"))
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    sets = materialise(sets.join(needed, "key", "left_semi"), "sets")
+    needed = materialise(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "needed")
+    sets = materialise(rows.select("key", "own").join(few(needed), "key", "left_semi").groupBy("key").agg(F.first("own").alias("own")), "sets")
     with_sets = pairs.join(sets.select(F.col("key").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("key").alias("v"), F.col("own").alias("y")), "v")
     links = with_sets.select("u", "v", "x", "y").mapInArrow(_verify(similarity), "u long, v long")
     groups = components(links).withColumnsRenamed({"node": "key", "component": "root"})
@@ -309,7 +308,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs(doc_id, text, ...), with all their columns, of each group of near-duplicates those with the smallest
     doc_id. Rows without a doc_id stay. Repeated rows and rows with equal doc_ids stay or go together. The doc_ids that go
-    are joined; no text is shuffled where Spark finds them small enough to broadcast."""
+    are joined; up to FEW of them are broadcast, so that no text is shuffled."""
     found = similar_documents(docs, shingle, similarity)
-    gone = materialise(found.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("first < doc_id").select(F.col("doc_id").alias("gone")), "gone")
+    gone = few(materialise(found.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("first < doc_id").select(F.col("doc_id").alias("gone")), "gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
