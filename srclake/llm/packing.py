@@ -55,6 +55,7 @@ def pack_histogram(histogram: dict[int, int], size: int = SIZE) -> list[tuple[in
 _encoders: dict[str, Encoder] = {}
 #: Words of these letters alone are one token run each, and mean the same in lower case; other characters that may follow.
 _PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_ASCII = re.compile(b"[a-z]+").fullmatch
 _AFTER = b".,!?;:*$%&#|"
 
 
@@ -100,10 +101,14 @@ class Encoder(dict):
         parts, plain, other = [], set(), set()
         for w in new:
             core = w.rstrip(_AFTER)
-            letters = core.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(letters):
-                core, tail = letters.lower().encode(), w[len(core) :]
-                parts.append((w, core, tail))
+            tail = w[len(core) :]
+            if _ASCII(core):
+                letters = True
+            elif letters := _PLAIN.fullmatch(text := core.decode("utf-8", "replace")):
+                core = text.lower().encode()
+            if letters:
+                if tail or core != w:
+                    parts.append((w, core, tail))
                 if core not in self:
                     plain.add(core)
                 if tail and tail not in self:
