@@ -169,6 +169,58 @@ def test_similar_documents(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 5, 7] and kept.columns == frame(spark, rows).columns
 
 
+def brute_similar(rows):
+    """The least doc_id that links of a Jaccard similarity of 0.8 or more reach, by comparing all pairs."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4) if w else 0)})
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if 10 * both >= 8 * (len(x) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min(i, least.get(root(k), i))
+    return {i: least[root(k)] for k, (i, _) in enumerate(rows)}
+
+
+def variants_around_the_bar():
+    """Families of texts that differ in a few words, so that many pairs are just above and just below a similarity of 0.8."""
+    rng, rows = random.Random(21), []
+    for family, (n, width, edits) in enumerate([(260, 200, (2, 4)), (60, 40, (1, 2)), (30, 1500, (20, 40)), (60, 9, (0, 1))]):
+        base = [f"b{family}w{k}" for k in range(width)]
+        for _ in range(n):
+            some = list(base)
+            for k in rng.sample(range(width), rng.randint(*edits)):
+                some[k] = f"e{rng.randrange(10**9)}"
+            rows.append(" ".join(some))
+    rng.shuffle(rows)
+    return [(i, t) for i, t in enumerate(rows + ["", " ", None, "one", "One", "two"])]
+
+
+@pytest.mark.parametrize("cell", [16384, 4])
+def test_similar_documents_miss_no_link(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rows = variants_around_the_bar() if cell > 4 else variants_around_the_bar()[::6]
+    got = dict(map(tuple, simhash.similar_documents(frame(spark, rows)).collect()))
+    assert got == brute_similar(rows)
+
+
+def test_similar_documents_of_copies(spark):
+    rows = list(dict(documents_with_copies()).items())
+    assert dict(map(tuple, simhash.similar_documents(frame(spark, rows)).collect())) == brute_similar(rows)
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 300), (300, 500), (7, 7), (9, 9)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
