@@ -50,6 +50,7 @@ class Block:
 
     def top(self, query: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids and scores of the query's first k in this block, without vector `skip`."""
+        own = np.nonzero(self.ids == skip)[0]
         n, dims = self.values.shape
         up, s = query > 0, np.arange(STEPS)
         # The most that a vector of a segment adds over the component's worst value; segments from the good end.
@@ -62,7 +63,7 @@ class Block:
         worst = np.where(up, self.low, self.high)
         # Impacts fall along a component, so a bar on the impact gives each component a number of segments to read.
         bars = np.quantile(best[:, :-1], 1 - np.arange(1, ROUNDS + 1) / ROUNDS, method="lower")
-        partial, read, want = np.zeros(n, np.int64), np.zeros(dims, np.int64), k + 1
+        partial, read, want = np.zeros(n, np.int64), np.zeros(dims, np.int64), k + len(own)  # as many of the first may be the query's own rows
         maybe = np.arange(n)
         for bar in bars:
             upto = (best[:, :-1] >= max(bar, 1)).sum(axis=1)
@@ -74,8 +75,8 @@ class Block:
             rest = best[np.arange(dims), read].sum()
             if n > want:
                 maybe = np.nonzero(partial + rest >= np.partition(partial, n - want)[n - want])[0]
-            if len(maybe) <= FEW * k:
-                break  # proven: every other vector's upper bound is under k + 1 lower bounds
+            if len(maybe) <= FEW * k + len(own):
+                break  # proven: every other vector's upper bound is under k lower bounds of others
         maybe = maybe[self.ids[maybe] != skip]
         score = self.values[maybe] @ query
         first = np.lexsort((self.ids[maybe], -score))[:k]

@@ -194,6 +194,30 @@ def test_blocks_stop_on_proof_only(monkeypatch):
         assert who.tolist() == ids[order].tolist() and score.tolist() == every[order].tolist()
 
 
+@pytest.mark.parametrize("repeats", [2, 3, 12, 200])
+def test_rows_with_the_query_id_leave_room_for_others(repeats):
+    rng = np.random.default_rng(repeats)
+    values = rng.integers(-500, 500, (2000, 16))
+    values[:repeats] = values[0] * 2
+    ids = np.concatenate((np.zeros(repeats, np.int64), rng.permutation(np.arange(1, 2001 - repeats))))
+    who, score = topk.Block(ids, values).top(values[0], 10, 0)
+    every = values @ values[0]
+    order = [k for k in np.lexsort((ids, -every)) if ids[k] != 0][:10]
+    assert who.tolist() == ids[order].tolist() and score.tolist() == every[order].tolist()
+
+
+def test_top_k_with_repeated_query_ids(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.integers(-40, 40, 8).tolist()) for i in range(1, 400)]
+    vectors += [(100, vectors[99][1])] * 3 + [(200, rng.integers(30, 40, 8).tolist()) for _ in range(15)]
+    table = spark.createDataFrame(vectors, "vec_id long, v array<long>")
+    want = Counter()
+    for q, x in {(i, tuple(v)) for i, v in vectors if i % 100 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in vectors if i != q)
+        want.update((q, n, i, -s) for n, (s, i) in enumerate(scored[:10], 1))
+    assert Counter(map(tuple, topk.top_k(table, table.where("vec_id % 100 = 0"), 10).collect())) == want
+
+
 def test_quantised(spark):
     rows = [(1, [0.5, -0.1]), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, None), (5, []), (6, [float("inf")])]
     df = spark.createDataFrame(rows, "vec_id long, e array<float>").select("vec_id", topk.quantised(F.col("e")).alias("v"))
