@@ -4,9 +4,9 @@ The tree has a fixed depth: a line goes by its number of tokens and its first LE
 variable fields from the start. Within a leaf, places where no token has the majority are variable fields too; what stays
 constant is the leaf's template. Lines whose template recurs across documents are dropped.
 
-Recurring means: in at least LEAST places that differ. A place is the first tokens of the line before and of the line after.
-Boilerplate stands between other lines in each document; the lines of copied documents, however many copies there are, stand
-between the same ones. So copies keep their lines, and are left to document dedup.
+Recurring means: in texts of at least LEAST families. A family is a text and its near copies: texts that have over half of
+their lines, by first tokens, in common. So copies keep their lines, however many there are, and are left to document dedup;
+what else stands around a line, blank lines or other recurring ones, does not matter, nor does a line's share of all texts.
 """
 
 from __future__ import annotations
@@ -14,12 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srclake.llm.common import materialise
+from srclake.llm.common import few, materialise
+from srclake.llm.components import components
 from srclake.llm.native import let
 
-#: Leading tokens of a leaf; different places in which a template recurs, and their least share, in per cent, of the
-#: different texts that it is in; least share of a line's tokens, in per cent, that are as in the leaf's template.
-LEAD, LEAST, PLACES, ALIKE = 3, 5, 30, 70
+#: Leading tokens of a leaf; families of texts in which a template recurs; least share of a line's tokens, in per cent, that
+#: are as in the leaf's template.
+LEAD, LEAST, ALIKE = 3, 5, 70
+#: Cells in which a text looks for its near copies; each is a pair of least hashes of its lines.
+CELLS = 6
 #: A token with a digit; white space within a line that is not one space between tokens.
 _FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 _ODD_SPACE, _SPACE = r"[\x09\x0B-\x0D]|\x20\x20", r"[\x20\x09\x0B-\x0D]+"
@@ -37,8 +40,8 @@ def _lead(masked: Column) -> Column:
 
 
 def _leaves(text: Column) -> Column:
-    """array<struct<line int, leaf long, full long, place long>> of the lines with a word: the leaf by number of tokens and
-    first tokens, the whole masked line and what stands around it, as hashes."""
+    """array<struct<line int, leaf long, full long, lead long>> of the lines with a word: the leaf by number of tokens and
+    first tokens, the whole masked line and its first tokens, as hashes."""
 
     def of(masked: Column) -> Column:
         lead = F.transform(masked, _lead)
@@ -46,7 +49,7 @@ def _leaves(text: Column) -> Column:
             i.alias("line"),
             F.xxhash64(F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))), g[i]).alias("leaf"),
             F.xxhash64(m).alias("full"),
-            F.xxhash64(F.coalesce(F.get(g, i - 1), F.lit(0)), F.coalesce(F.get(g, i + 1), F.lit(0))).alias("place"),
+            g[i].alias("lead"),
             m.alias("masked"),
         )
         return let(lead, lambda g: F.filter(F.transform(masked, item(g)), lambda x: x["masked"] != ""))
@@ -59,21 +62,35 @@ def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("2"), text).alias("k2")]
 
 
+def _families(texts: DataFrame) -> DataFrame:
+    """(k1, family) of the texts(k1, leads) that are near copies of others. A text meets the first one of each cell; their
+    lines are compared, so that cells of recurring lines join no texts that differ otherwise."""
+    least = lambda k: F.array_min(F.transform("leads", lambda x: F.xxhash64(x, F.lit(k))))
+    cells = texts.select("k1", F.explode(F.array(*[F.xxhash64(F.lit(k), least(2 * k), least(2 * k + 1)) for k in range(CELLS)])).alias("cell"))
+    cells = materialise(cells, "cells")
+    shared = cells.groupBy("cell").agg(F.min("k1").alias("first"), F.max("k1").alias("last")).where("first <> last").select("cell", "first")
+    pairs = materialise(cells.join(shared, "cell").where("k1 <> first").select("k1", "first").distinct(), "pairs")
+    pairs = pairs.join(texts.select("k1", F.col("leads").alias("x")), "k1").join(texts.select(F.col("k1").alias("first"), F.col("leads").alias("y")), "first")
+    both = F.size(F.array_intersect("x", "y"))
+    links = pairs.where(3 * both > F.size("x") + F.size("y")).select(F.col("k1").alias("u"), F.col("first").alias("v"))
+    return components(links).withColumnsRenamed({"node": "k1", "component": "family"})
+
+
 def _counted(rows: DataFrame, key: str) -> DataFrame:
-    """The values of `key` that recur. rows(key, place, k1): a line in a text. A text counts once, with one of its places;
-    sets of places would grow without bound, so each step is a partial aggregation."""
-    once = rows.groupBy(key, "k1").agg(F.min("place").alias("place"))
-    places = once.groupBy(key, "place").agg(F.count("*").alias("texts"))
-    counts = places.groupBy(key).agg(F.count("*").alias("places"), F.sum("texts").alias("texts"))
-    return counts.where((F.col("places") >= LEAST) & (100 * F.col("places") >= PLACES * F.col("texts"))).select(key)
+    """The values of `key` that recur. rows(key, family): a line in a text. Sets of families would grow without bound, so
+    each step is a partial aggregation."""
+    return rows.groupBy(key, "family").agg(F.lit(1)).groupBy(key).agg(F.count("*").alias("families")).where(F.col("families") >= LEAST).select(key)
 
 
 def recurring(docs: DataFrame) -> DataFrame:
     """(k1, k2, lines array<int>): by hashes of the text, the places in split(text, newline) of lines to drop."""
     texts = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))
     found = texts.select(*_key(F.col("text")), F.transform(_leaves(F.col("text")), lambda x: x.dropFields("masked")).alias("x"))
-    # One row for each different text: copies of a document are one place for each of its lines.
-    rows = materialise(found.groupBy("k1", "k2").agg(F.first("x").alias("x")).select("k1", "k2", F.explode("x").alias("x")).select("k1", "k2", "x.*"), "lines")
+    # One row for each different text: copies of a document are one text.
+    different = materialise(found.groupBy("k1", "k2").agg(F.first("x").alias("x")).where(F.size("x") > 0), "texts")
+    families = few(materialise(_families(different.select("k1", F.array_distinct("x.lead").alias("leads"))), "families"))
+    rows = different.join(families, "k1", "left").select("k1", "k2", F.coalesce("family", "k1").alias("family"), F.explode("x").alias("x"))
+    rows = materialise(rows.select("k1", "k2", "family", "x.line", "x.leaf", "x.full"), "lines")
     exact = _counted(rows, "full")
     variants = rows.groupBy("leaf", "full").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("variants"))
     crowded = materialise(_counted(rows, "leaf").join(variants.where("variants > 1").select("leaf"), "leaf", "left_semi"), "leaves")

@@ -194,6 +194,19 @@ def test_blocks_stop_on_proof_only(monkeypatch):
         assert who.tolist() == ids[order].tolist() and score.tolist() == every[order].tolist()
 
 
+def lines_of(rng, n):
+    return [prose(rng, rng.randint(6, 12)) for _ in range(n)]
+
+
+def test_lines_between_blank_lines_and_in_blocks_recur(spark):
+    rng = random.Random(31)
+    block, footer, alone = lines_of(rng, 4), lines_of(rng, 2), prose(rng, 8)
+    own = [lines_of(rng, 8) for _ in range(12)]
+    rows = [(i, "\n".join([*block, *w[:4], "", alone, "", *w[4:], *footer])) for i, w in enumerate(own)]
+    kept = {r.doc_id: r.text for r in lines.drop_recurring(frame(spark, rows)).collect()}
+    assert kept == {i: "\n".join([*w[:4], "", "", *w[4:]]) for i, w in enumerate(own)}
+
+
 @pytest.mark.parametrize("repeats", [2, 3, 12, 200])
 def test_rows_with_the_query_id_leave_room_for_others(repeats):
     rng = np.random.default_rng(repeats)
