@@ -207,6 +207,22 @@ def test_lines_between_blank_lines_and_in_blocks_recur(spark):
     assert kept == {i: "\n".join([*w[:4], "", "", *w[4:]]) for i, w in enumerate(own)}
 
 
+def test_near_copies_do_not_dilute_recurring_lines(spark):
+    rng = random.Random(32)
+    common = prose(rng, 8)
+    own = [lines_of(rng, 8) for _ in range(20)]
+    base = lines_of(rng, 20)
+    copies = []
+    for k in range(300):
+        some = list(base)
+        some[rng.randrange(20)] = prose(rng, 7)
+        copies.append(some)
+    rows = [(i, "\n".join([*w[:4], common, *w[4:]])) for i, w in enumerate(own)]
+    rows += [(1000 + i, "\n".join([*w[:9], common, *w[9:]])) for i, w in enumerate(copies)]
+    kept = {r.doc_id: r.text for r in lines.drop_recurring(frame(spark, rows)).collect()}
+    assert kept == {i: "\n".join(w) for i, w in enumerate(own)} | {1000 + i: "\n".join(w) for i, w in enumerate(copies)}
+
+
 @pytest.mark.parametrize("repeats", [2, 3, 12, 200])
 def test_rows_with_the_query_id_leave_room_for_others(repeats):
     rng = np.random.default_rng(repeats)
