@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +55,19 @@ def few(df: DataFrame, most: int = FEW) -> DataFrame:
     """df, to be broadcast if it has `most` rows or fewer; beyond that it is joined as Spark plans it. For tables of a few
     numbers a row that are stored already, so that counting them is cheap."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+#: Bytes of text that a worker takes at a time.
+SLICE = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose values of a binary column have `most` bytes or so; a longer value is a slice by itself."""
+    for b in batches:
+        if b.num_rows:
+            data = b.column(column)
+            ends = np.frombuffer(data.buffers()[1], np.int64 if pa.types.is_large_binary(data.type) else np.int32)[data.offset : data.offset + b.num_rows + 1].astype(np.int64)
+            part = (ends[1:] - ends[0] - 1).clip(0) // most
+            cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), b.num_rows]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                yield b.slice(x, y - x)

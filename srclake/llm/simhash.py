@@ -9,8 +9,6 @@ radius are skipped, the others are compared in full. The result is exact for any
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srclake.llm.common import few, materialise, text_bytes
+from srclake.llm.common import materialise, slices, text_bytes
 from srclake.llm.components import components
 
 SEED = 42
@@ -50,7 +48,7 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
@@ -115,10 +113,26 @@ def link_cell(fp: np.ndarray, side: np.ndarray | None, radius: int) -> tuple[np.
     return fp[pairs[:, 0]], fp[pairs[:, 1]]
 
 
+def groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The runs of rows with equal columns, of rows in that order."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, b]).combine_chunks()
+        key = np.stack([rows[c].to_numpy().astype(np.int64) for c in columns], axis=1)
+        cuts = np.concatenate(([0], np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1))
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            yield rows.slice(x, y - x)
+        held = rows.slice(cuts[-1]).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _link(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come in order of cells; a cell holds at most two groups, so what is held at a time is bounded.
-        for cell in _groups(batches, ("part", "bits", "a", "b")):
+        for cell in groups(batches, ("part", "bits", "a", "b")):
             if len(cell) > 1:
                 fp, side = cell["fp"].to_numpy().view(np.uint64), cell["side"].to_numpy()
                 split = cell["a"][0].as_py() != cell["b"][0].as_py()
@@ -150,346 +164,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     component_id is the smallest doc_id that links of `radius` or fewer differing bits reach, the row's own included. Null
     text is empty text; texts without words have fingerprint 0 and link like any other. Rows whose doc_id is null are
     linked, but give no component_id (a component of such rows only has null). Repeated rows and repeated doc_ids each
-    give a row. Other columns are ignored, whatever their names; empty input gives an empty result.
+    give a row. A very long text is hashed in blocks of shingles, its words are in one worker's memory. Other columns are
+    ignored, whatever their names; empty input gives an empty result.
     """
     rows = materialise(with_fingerprints(docs, shingle), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = components(links(fps.select("fp"), radius)).withColumnsRenamed({"node": "fp", "component": "root"})
-    of = materialise(fps.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "groups")
+    found = components(links(fps.select("fp"), radius)).withColumnsRenamed({"node": "fp", "component": "root"})
+    of = materialise(fps.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "groups")
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(of.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-#: A first, cheap pass over near texts in the sense of shared shingles: hashes of which one must agree for two texts to be
-#: compared there, and the bits in which their fingerprints differ at most. What it misses, the second pass finds.
-HASHES, WIDE = 8, 20
-#: Bits of a parity sketch (bit k: an odd number of shingle hashes is k modulo BITS): each element that only one of two sets
-#: has turns one bit, so sketches never differ in more bits than their sets in elements.
-BITS = 1024
-#: Shingles a text that a cell of CELL texts has room for, and rows of a cell up to which cells are compared many at once.
-ROOM, SMALL = 256, 16
-
-
-def _shingles(text: bytes, shingle: int) -> np.ndarray:
-    words = text.lower().split()
-    n = max(1, len(words) - shingle + 1) if words else 0
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
-
-
-def _signed(bits: int) -> int:
-    return bits - (1 << 64) if bits >> 63 else bits
-
-
-def _prefix(own: np.ndarray, similarity: float) -> np.ndarray:
-    """The least of the sorted hashes, so many that two similar sets have one of them in common: similar sets share
-    ceil(similarity * size) elements at least, so the prefixes left of those must meet."""
-    n = len(own)
-    return own[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)
-
-
-def _parity(own: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
-
-
-def _text_key(text: bytes) -> int:
-    return int.from_bytes(hashlib.sha256(text).digest()[:8], "little", signed=True)
-
-
-def _own(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(a, 512) for x in batches for a in range(0, x.num_rows, 512)):
-            texts = [x.as_py() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([_text_key(x) for x in texts], pa.int64()), pa.array([_shingles(x, shingle).tobytes() for x in texts], pa.binary())], ["key", "own"])
-
-    return run
-
-
-def _sets(docs: DataFrame, texts: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
-    """(key, own): the sorted shingle hashes of the texts with these keys, from docs(doc_id, text binary) again, so that the
-    sets of all other texts are never stored."""
-    keys = few(materialise(keys.distinct(), "needed"))
-    ids = few(materialise(texts.join(keys, "key", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "ids"))
-    found = docs.join(ids, "doc_id", "left_semi").mapInArrow(_own(shingle), "key long, own binary").join(keys, "key", "left_semi")
-    return materialise(found.groupBy("key").agg(F.first("own").alias("own")), "sets")
-
-
-def _sketches(shingle: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = np.array([xxhash.xxh64_intdigest(b"%d" % k) | 1 for k in range(HASHES)], np.uint64)
-        for b in (x.slice(a, 512) for x in batches for a in range(0, x.num_rows, 512)):
-            out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py()
-                own = _shingles(text, shingle)
-                low = [int((((own ^ t) * t) ^ (((own ^ t) * t) >> np.uint64(32))).min()) >> 1 if len(own) else 0 for t in turn]
-                out.append((doc, _text_key(text), _signed(fingerprint(text, shingle)), low, len(own), _parity(own), _prefix(own, similarity).view(np.int64)))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["doc_id", "key", "fp", "low", "size", "parity", "prefix"])
-
-    return run
-
-
-def nearest_before(fp: np.ndarray, first: np.ndarray, side: np.ndarray | None, radius: int) -> np.ndarray:
-    """For each row the place of the nearest fingerprint, within the radius, among rows with a smaller `first`; else -1."""
-    order = np.argsort(np.bitwise_count(fp), kind="stable")
-    x, f, s = fp[order], first[order], None if side is None else side[order]
-    count = np.bitwise_count(x).astype(np.int16)
-    best, where = np.full(len(fp), radius + 1, np.int16), np.full(len(fp), -1)
-
-    def update(i: slice, j: slice, d: np.ndarray) -> None:
-        d = np.where(f[j][None, :] < f[i][:, None], d, radius + 1)
-        k = d.argmin(axis=1)
-        d = d[np.arange(len(k)), k]
-        better = d < best[i]
-        best[i] = np.where(better, d, best[i])
-        where[i] = np.where(better, k + j.start, where[i])
-
-    for a in range(0, len(fp), TILE):
-        i = slice(a, min(a + TILE, len(fp)))
-        for b in range(a, len(fp), TILE):
-            j = slice(b, min(b + TILE, len(fp)))
-            if count[j][0] - count[i][-1] > radius:
-                break
-            d = np.bitwise_count(x[i, None] ^ x[None, j]).astype(np.int16)
-            if s is not None:
-                d[s[i, None] == s[None, j]] = radius + 1
-            update(i, j, d)
-            if b > a:
-                update(j, i, d.T)
-    out = np.full(len(fp), -1)
-    out[order] = np.where(where >= 0, order[where], -1)
-    return out
-
-
-def _partners(radius: int):
-    """Cells come as in _link, and each is dealt with by itself."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in _groups(batches, ("cell", "a", "b")):
-            fp, key = cell["fp"].to_numpy().view(np.uint64), cell["key"].to_numpy()
-            if len(fp) < 2:
-                continue
-            split = cell["a"][0].as_py() != cell["b"][0].as_py()
-            to = nearest_before(fp, cell["first"].to_numpy(), cell["side"].to_numpy() if split else None, radius)
-            if (to >= 0).any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[to >= 0]), pa.array(key[to[to >= 0]])], ["u", "v"])
-
-    return run
-
-
-def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.Table]:
-    """The runs of rows with equal columns, of rows in that order."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        rows = pa.Table.from_batches([*held, b]).combine_chunks()
-        key = np.stack([rows[c].to_numpy().astype(np.int64) for c in columns], axis=1)
-        cuts = np.concatenate(([0], np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1))
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            yield rows.slice(x, y - x)
-        held = rows.slice(cuts[-1]).combine_chunks().to_batches()
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _verify(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _may_be(size_x: np.ndarray, size_y: np.ndarray, differ: np.ndarray, similarity: float) -> np.ndarray:
-    """False only where sets of these sizes, with sketches that differ in so many bits, cannot be similar."""
-    least, most = np.minimum(size_x, size_y), np.maximum(size_x, size_y)
-    return (least >= similarity * most - 1e-6) & (differ <= (1 - similarity) / (1 + similarity) * (least + most) + 1e-6)
-
-
-def _mixed_cells(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Like _groups, but many groups at a time, with where each begins and the last ends."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        rows = pa.Table.from_batches([*held, b]).combine_chunks()
-        key = np.stack([rows[c].to_numpy().astype(np.int64) for c in columns], axis=1)
-        cuts = np.concatenate(([0], np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1))
-        if len(cuts) > 1:
-            yield rows.slice(0, cuts[-1]), cuts
-        held = rows.slice(cuts[-1]).combine_chunks().to_batches()
-    if held:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        yield rows, np.array([0, rows.num_rows])
-
-
-def close_rows(cuts: np.ndarray, size: np.ndarray, bits: np.ndarray, root: np.ndarray, side: np.ndarray, split: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows that may be similar to one of another root in their cell (and on the other side of a split cell): of large cells
-    whether a row is one; of small cells the pairs, as two lists of places."""
-    close, length, us, vs = np.zeros(len(size), bool), np.diff(cuts), [cuts[:0]], [cuts[:0]]
-    cell = np.repeat(np.arange(len(length)), length)
-    few = np.repeat(length <= SMALL, length)
-    for d in range(1, min(SMALL, int(length.max()))):  # small cells all at once: each row and the one d further
-        i = np.nonzero(few[:-d] & (cell[:-d] == cell[d:]) & (root[:-d] != root[d:]) & (~split[:-d] | (side[:-d] != side[d:])))[0]
-        i = i[_may_be(size[i], size[i + d], np.bitwise_count(bits[i] ^ bits[i + d]).sum(axis=1, dtype=np.int64), similarity)]
-        us.append(i)
-        vs.append(i + d)
-    for k in np.nonzero(length > SMALL)[0]:
-        order = cuts[k] + np.argsort(size[cuts[k] : cuts[k + 1]], kind="stable")
-        for a in range(0, len(order), TILE):
-            x = order[a : a + TILE]
-            for b in range(a, len(order), TILE):
-                y = order[b : b + TILE]
-                if size[x[-1]] < similarity * size[y[0]] - 1e-6:
-                    break  # rows are in order of their sizes: all later tiles are larger still
-                may = root[x][:, None] != root[y][None, :]
-                if split[x[0]]:
-                    may &= side[x][:, None] != side[y][None, :]
-                if may.any():
-                    differ = np.zeros(may.shape, np.int16)
-                    for w in range(bits.shape[1]):
-                        differ += np.bitwise_count(bits[x, w][:, None] ^ bits[y, w][None, :])
-                    may &= _may_be(size[x][:, None], size[y][None, :], differ, similarity)
-                    close[x[may.any(axis=1)]] = close[y[may.any(axis=0)]] = True
-    return close, np.concatenate(us), np.concatenate(vs)
-
-
-def _close(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, cuts in _mixed_cells(batches, ("cell", "a", "b")):
-            size, root, side, a, b = (rows[c].to_numpy() for c in ("size", "root", "side", "a", "b"))
-            bits = np.frombuffer(b"".join(rows["parity"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            close, u, v = close_rows(cuts, size.astype(np.int64), bits, root, side, a != b, similarity)
-            key, name = rows["key"].to_numpy(), rows["cell"].to_numpy().copy()
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                if close[x:y].any():  # cells with the same rows get the same name
-                    name[x:y] = xxhash.xxh64_intdigest(np.sort(key[x:y][close[x:y]]).tobytes()) >> 1
-            k = int(close.sum())
-            other = pa.array([None] * k, pa.int64())
-            out = [np.concatenate((c[close], c[u])) for c in (np.where(close, name, 0), np.where(close, a, 0), np.where(close, b, 0), key, root, side)]
-            out[3][k:], pair = np.minimum(key[u], key[v]), np.maximum(key[u], key[v])
-            out[4][k:], out[5][k:] = 0, 0
-            if len(out[0]):
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int8(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*out], types)] + [pa.concat_arrays([other, pa.array(pair, pa.int64())])], ["cell", "a", "b", "key", "root", "side", "other"])
-
-    return run
-
-
-def link_sets(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
-    """Places of similar sets: as connected, with the roots, as all similar pairs. All pairs whose labels differ and whose
-    sizes allow it are tested; a link merges the labels, so there are fewer links than sets. side: as in link_cell."""
-    order = np.argsort([len(x) for x in sets], kind="stable")
-    size = np.array([len(sets[k]) for k in order])
-    at = np.concatenate(([0], np.cumsum(size)))
-    label, side, found = np.unique(root[order], return_inverse=True)[1], None if side is None else side[order], []
-    names, code = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
-    mark = np.zeros(len(names), bool)
-    for i in range(len(order)):
-        upto = np.searchsorted(size, size[i] / similarity + 1e-6, "right")
-        j = np.arange(i + 1, upto)
-        j = j[label[j] != label[i]] if side is None else j[(label[j] != label[i]) & (side[j] != side[i])]
-        if not len(j):
-            continue
-        mark[code[at[i] : at[i + 1]]] = True
-        if 8 * len(j) < upto - i:
-            both = np.array([np.count_nonzero(mark[code[at[k] : at[k + 1]]]) for k in j])
-        else:
-            sums = np.concatenate(([0], np.cumsum(mark[code[at[i + 1] : at[upto]]])))
-            both = sums[at[j + 1] - at[i + 1]] - sums[at[j] - at[i + 1]]
-        mark[code[at[i] : at[i + 1]]] = False
-        for k in j[both >= similarity * (size[i] + size[j] - both)]:
-            if label[k] != label[i]:
-                found.append((int(order[i]), int(order[k])))
-                label[label == label[k]] = label[i]
-    return found
-
-
-def _overlaps(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in _groups((x.slice(a, 1024) for x in batches for a in range(0, x.num_rows, 1024)), ("cell", "a", "b")):
-            key, split = cell["key"].to_numpy(), cell["a"][0].as_py() != cell["b"][0].as_py()
-            found = link_sets([np.frombuffer(x, np.uint64) for x in cell["own"].to_pylist()], cell["root"].to_numpy(), cell["side"].to_numpy() if split else None, similarity)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(key[list(x)]) for x in zip(*found)], ["u", "v"])
-
-    return run
-
-
-def _across(docs: DataFrame, rows: DataFrame, texts: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, v): links that, with the groups(key, root), join the same texts as all similar pairs.
-
-    Similar texts have a hash of their prefixes in common, so each such hash is a cell; only cells with texts of different
-    groups matter. There all pairs are compared that are of different groups, first by size and parity sketch, which exclude
-    none that is similar, then, with the rows left, by their sets. A cell too large for a task is cut into a grid."""
-    placed = rows.select("key", "prefix").join(few(groups), "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.explode("prefix").alias("cell"))
-    mixed = materialise(placed.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell"), "mixed")
-    inside = materialise(placed.join(few(mixed), "cell", "left_semi").distinct().join(texts.select("key", "size", "parity"), "key"), "inside")
-    load = F.greatest(F.count("*"), F.ceil(F.sum("size") / ROOM))
-    large = inside.groupBy("cell").agg(load.alias("n")).where(F.col("n") > CELL).select("cell", F.ceil(2 * F.col("n") / CELL).cast("int").alias("g"))
-    dealt = inside.join(large, "cell", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("s", F.pmod(F.xxhash64("key"), F.col("g")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("t"))
-    dealt = dealt.select("cell", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "key", "root", "size", "parity", (F.col("s") > F.col("t")).cast("byte").alias("side"))
-    close = dealt.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(_close(similarity), "cell long, a int, b int, key long, root long, side byte, other long")
-    # Two texts meet in many cells: pairs are tested once, and so are large cells of the same texts.
-    close = materialise(close.distinct(), "close")
-    sets = _sets(docs, texts, close.select(F.explode(F.array("key", F.coalesce("other", "key"))).alias("key")), shingle)
-    pairs = close.where("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v"))
-    pairs = pairs.join(sets.select(F.col("key").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("key").alias("v"), F.col("own").alias("y")), "v")
-    pairs = pairs.select("u", "v", "x", "y").mapInArrow(_verify(similarity), "u long, v long")
-    close = close.where("other is null").drop("other")
-    return pairs.unionAll(close.join(sets, "key").repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(_overlaps(similarity), "u long, v long"))
-
-
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
-    """(doc_id, component_id): a row for each row of docs(doc_id, text, ...) with a doc_id; component_id is the smallest
-    doc_id that is reached by links between texts whose sets of `shingle`-word shingles have a Jaccard similarity of
-    `similarity` or more.
-
-    A first pass joins what is easily found. Texts that agree in one of HASHES least shingle hashes are in a cell, where
-    tiles of SimHash fingerprints are compared as in near_duplicates, with a wide radius; each text is linked to its nearest
-    earlier one of each cell, so there is one pair for each text and cell and not one for each two copies. Pairs are then
-    checked on their shingle sets. Cells of more than CELL texts are parted by a second least hash, and what is still larger
-    is cut into a grid. The second pass (_across) finds all links between the groups of the first, so that none is missed.
-    Equal texts are one text throughout, equal shingles are those with equal XXH64. Null text is empty; texts without words
-    are similar to each other only. Empty input gives an empty result.
-    """
-    whole = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    rows = materialise(whole.mapInArrow(_sketches(shingle, similarity), "doc_id long, key long, fp long, low array<long>, size int, parity binary, prefix array<long>"), "sketches")
-    texts = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("fp", "low", "size", "parity")]), "texts")
-    cells = texts.select("key", "first", "fp", "low", F.posexplode("low").alias("k", "h")).withColumn("cell", F.xxhash64("k", "h"))
-    sizes = materialise(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
-    light = cells.join(sizes.where(F.col("n") <= CELL).select("cell"), "cell", "left_semi").select("cell", "key", "first", "fp")
-    heavy = cells.join(sizes.where(F.col("n") > CELL).select("cell"), "cell", "left_semi")
-    heavy = heavy.select("key", "first", "fp", "cell", "k", F.posexplode("low").alias("k2", "h2")).where("k < k2").withColumn("cell", F.xxhash64("cell", "k2", "h2")).select("cell", "key", "first", "fp")
-    again = materialise(heavy, "heavy")
-    grid = again.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.greatest(F.lit(1), F.when(F.col("n") > CELL, F.ceil(2 * F.col("n") / CELL)).otherwise(1)).cast("int").alias("g"))
-    dealt = light.withColumn("g", F.lit(1)).unionByName(again.join(grid, "cell"))
-    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("key"), F.col("g")).cast("int")).select("cell", "key", "first", "fp", "s", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("t"))
-    dealt = dealt.select("cell", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "key", "first", "fp", (F.col("s") > F.col("t")).cast("byte").alias("side"))
-    pairs = dealt.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(_partners(radius), "u long, v long").distinct()
-    pairs = materialise(pairs, "pairs")
-    sets = _sets(whole, texts, pairs.select(F.explode(F.array("u", "v")).alias("key")), shingle)
-    with_sets = pairs.join(sets.select(F.col("key").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("key").alias("v"), F.col("own").alias("y")), "v")
-    links = with_sets.select("u", "v", "x", "y").mapInArrow(_verify(similarity), "u long, v long")
-    groups = materialise(components(links).withColumnsRenamed({"node": "key", "component": "root"}), "found")
-    links = groups.select(F.col("key").alias("u"), F.col("root").alias("v")).unionAll(_across(whole, rows, texts, groups, shingle, similarity))
-    groups = components(links).withColumnsRenamed({"node": "key", "component": "root"})
-    of = materialise(texts.select("key", "first").join(groups, "key", "left").withColumn("root", F.coalesce("root", "key")), "groups")
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "key").join(of.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
-
-
-def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs(doc_id, text, ...), with all their columns, of each group of near-duplicates those with the smallest
-    doc_id. Rows without a doc_id stay. Repeated rows and rows with equal doc_ids stay or go together. The doc_ids that go
-    are joined; up to FEW of them are broadcast, so that no text is shuffled."""
-    found = similar_documents(docs, shingle, similarity)
-    gone = few(materialise(found.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("first < doc_id").select(F.col("doc_id").alias("gone")), "gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")

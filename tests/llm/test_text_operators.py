@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from srclake.llm import bpe, components, packing, simhash, substrings
+from srclake.llm import bpe, components, packing, simhash, similar, substrings
 from tests.llm.helpers import documents_with_copies, frame
 
 BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -127,7 +127,7 @@ def test_near_duplicates(spark, odd, odd_rows, case):
 
 def test_near_duplicates_of_nothing(empty):
     assert simhash.near_duplicates(empty).collect() == []
-    assert simhash.keep_first(empty).collect() == []
+    assert similar.keep_first(empty).collect() == []
 
 
 def test_link_cell_keeps_all_connections():
@@ -163,14 +163,14 @@ def test_similar_documents(spark):
     near = words[:100] + ["changed"] + words[101:]
     far = [w if k % 6 else "other" for k, w in enumerate(words)]
     rows = [(3, " ".join(words)), (1, " ".join(near)), (2, " ".join(far)), (4, " ".join(words)), (5, None), (6, ""), (7, "a b c d e f"), (None, " ".join(words))]
-    got = dict(map(tuple, simhash.similar_documents(frame(spark, rows)).collect()))
+    got = dict(map(tuple, similar.similar_documents(frame(spark, rows)).collect()))
     assert got == {3: 1, 1: 1, 2: 2, 4: 1, 5: 5, 6: 5, 7: 7}
-    kept = simhash.keep_first(frame(spark, rows))
+    kept = similar.keep_first(frame(spark, rows))
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 5, 7] and kept.columns == frame(spark, rows).columns
 
 
-def brute_similar(rows):
-    """The least doc_id that links of a Jaccard similarity of 0.8 or more reach, by comparing all pairs."""
+def brute_similar(rows, similarity=0.8):
+    """The least doc_id that links of this Jaccard similarity or more reach, by comparing all pairs."""
     sets = []
     for _, t in rows:
         w = (t or "").lower().split()
@@ -185,7 +185,7 @@ def brute_similar(rows):
     for i, x in enumerate(sets):
         for j in range(i):
             both = len(x & sets[j])
-            if 10 * both >= 8 * (len(x) + len(sets[j]) - both):
+            if both >= similarity * (len(x) + len(sets[j]) - both):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     least = {}
@@ -210,15 +210,53 @@ def variants_around_the_bar():
 
 @pytest.mark.parametrize("cell", [16384, 4])
 def test_similar_documents_miss_no_link(spark, monkeypatch, cell):
-    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(similar, "CELL", cell)
+    monkeypatch.setattr(similar, "SMALL", min(cell, similar.SMALL))
     rows = variants_around_the_bar() if cell > 4 else variants_around_the_bar()[::6]
-    got = dict(map(tuple, simhash.similar_documents(frame(spark, rows)).collect()))
+    got = dict(map(tuple, similar.similar_documents(frame(spark, rows)).collect()))
     assert got == brute_similar(rows)
 
 
+def test_pairs_that_share_one_cell_are_found_whatever_its_size(spark, monkeypatch):
+    """Pairs at a similarity of 0.5, of which the first pass finds few, in cells that are cut."""
+    monkeypatch.setattr(similar, "CELL", 4)
+    rng, rows = random.Random(41), []
+    shared = [f"s{k}" for k in range(30)]
+    for i in range(60):
+        words = shared + [f"p{i}w{k}" for k in range(60)]
+        other = words[:58] + [f"q{i}w{k}" for k in range(20)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    rng.shuffle(rows)
+    got = dict(map(tuple, similar.similar_documents(frame(spark, rows), similarity=0.5).collect()))
+    assert got == brute_similar(rows, 0.5) and len(set(got.values())) < len(rows)
+
+
+def test_prefixes_meet_in_any_order():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 80), dtype=np.uint64))
+        gone = rng.permutation(len(x))[: rng.integers(0, len(x))]
+        y = np.unique(np.concatenate((np.delete(x, gone), rng.integers(0, 1 << 62, rng.integers(0, 9), dtype=np.uint64))))
+        both = len(np.intersect1d(x, y))
+        if both >= 0.8 * (len(x) + len(y) - both):
+            first = [similar.prefix(z, (z % np.uint64(4)).astype(np.uint8), 0.8) for z in (x, y)]
+            assert len(np.intersect1d(*first))
+
+
+def test_folded_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in (10, 900, 1020, 1030, 2000, 2050)]
+    sets += [np.concatenate((s[5:], rng.integers(0, 1 << 62, 40, dtype=np.uint64))) for s in sets]
+    sketches = similar.Sketches([similar._parity(s) for s in sets])
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            if max(sketches.width[[i, j]]) <= 2 * min(sketches.width[[i, j]]):
+                assert sketches.differ(np.array([i]), np.array([j]))[0] <= len(np.setxor1d(x, y))
+
+
 def test_similar_documents_of_copies(spark):
     rows = list(dict(documents_with_copies()).items())
-    assert dict(map(tuple, simhash.similar_documents(frame(spark, rows)).collect())) == brute_similar(rows)
+    assert dict(map(tuple, similar.similar_documents(frame(spark, rows)).collect())) == brute_similar(rows)
 
 
 def test_components_of_long_chains(spark):
