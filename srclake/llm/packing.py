@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srclake.llm.common import materialise, text_bytes
+from srclake.llm.common import materialise, slices, text_bytes
 
 SIZE, END = 4096, 2
 #: Words of which a worker keeps the ids.
 CACHE = 1_000_000
-#: Ranks are dealt within so many parts of a length, so that a common length does not meet in one task.
-PARTS = 64
+#: Ranks are dealt within parts of a length of about so many pieces, so that a common length does not meet in one task.
+PART = 100_000
 
 
 def pack_histogram(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
@@ -132,19 +132,13 @@ class Encoder(dict):
         return plain, other, new
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for a in range(0, b.num_rows, rows):
-            yield b.slice(a, rows)
-
-
 def _pieces(key: str, spec, size: int, end: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _encoders:
             _encoders.clear()
             _encoders[key] = Encoder(spec.value)
         encoder, last = _encoders[key], np.array([end], np.uint32).tobytes()
-        for b in _slices(batches):
+        for b in slices(batches, 1):
             out = []
             for doc, ids in zip(b.column(0).to_pylist(), encoder.ids(b.column(1).to_pylist())):
                 ids += last
@@ -181,13 +175,15 @@ def _place(plan):
 
 def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to pieces(doc_id, start, length, ids_crc32, doc_tokens), which must stay as they are when
-    read again. Ranks within a length go by doc_id and start within parts of equal sizes, and by part."""
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(PARTS)).cast("int")
-    rows = pieces.withColumn("part", part)
-    counts = rows.groupBy("length", "part").agg(F.count("*").alias("n"))  # at most size * PARTS rows
+    read again. Ranks within a length go by doc_id and start within parts of about PART pieces, and by part: there are as
+    many parts as the most common length needs."""
+    lengths = materialise(pieces.groupBy("length").agg(F.count("*").alias("n")), "lengths")  # at most size rows
+    parts = lengths.select("length", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    rows = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts")).cast("int"))
+    counts = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most size rows
+    histogram = {r["length"]: r["n"] for r in lengths.collect()}
     plan = np.array(sorted(pack_histogram(histogram, size)), np.int64).reshape(-1, 5)
     sent = pieces.sparkSession.sparkContext.broadcast(((plan[:, 0] << 44) + plan[:, 1], plan[:, 3], plan[:, 4]))
     order = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
@@ -200,8 +196,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> D
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset long): a row for each piece of each row of
     docs(doc_id, text, ...). Pieces of a sequence follow each other from offset 0 without gaps and fill at most `size` ids.
 
-    Null and empty text are the end id alone. Repeated rows are packed each for itself; other columns are ignored; empty
-    input gives an empty result. The plan that is broadcast has a row for each range of ranks: a length adds at most one
+    Null and empty text are the end id alone. A very long text is many pieces; its ids are in one worker's memory. Repeated
+    rows are packed each for itself, in any order among them; other columns are ignored; empty input gives an empty result. The plan that is broadcast has a row for each range of ranks: a length adds at most one
     pattern of packs, and a pack takes as many ranges as it has pieces, so its size follows from the histogram alone and
     not from the number of documents.
     """

@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 
 from srclake.llm.common import materialise
 
-#: Components in a block of the index, queries that are broadcast at once, quantisation steps of a component, and rounds
-#: after each of which the bounds are looked at.
-BLOCK, QUERIES, STEPS, ROUNDS = 1 << 20, 4096, 32, 8
+#: Components in a block of the index and in one of queries, quantisation steps of a component, and rounds after each of
+#: which the bounds are looked at.
+BLOCK, QUERIES, STEPS, ROUNDS = 1 << 20, 1 << 18, 32, 8
 #: A block is read until at most this many times k vectors can be members.
 FEW = 8
 
 
 def quantised(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of each component as long; null for vectors that are null, empty, or hold nulls or non-finite ones."""
+    """floor(scale * x) of each component as long, the nearest long where it is beyond; null for vectors that are null, empty,
+    or hold nulls or non-finite ones."""
     x = vector.cast("array<double>")
     odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return F.when(~odd & (F.size(x) > 0), F.transform(x, lambda v: F.floor(v * F.lit(float(scale)))))
@@ -39,6 +40,9 @@ class Block:
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
         dims = values.shape[1]
+        self.wide = float(np.abs(values.astype(float)).max()) * dims * 4
+        if self.wide >= 2.0**61:
+            return  # no bounds: every query is scored in full
         self.low, self.high = values.min(axis=0), values.max(axis=0)
         self.width = (self.high - self.low) // STEPS + 1
         columns = np.ascontiguousarray(values.T)
@@ -48,9 +52,19 @@ class Block:
         step = np.take_along_axis(step, self.order, axis=1)
         self.edge = np.stack([np.searchsorted(step[d], np.arange(STEPS + 1)) for d in range(dims)])
 
+    def top_wide(self, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with integers of any size, for products that a long cannot hold."""
+        score = (self.values.astype(object) * query.astype(object)).sum(axis=1)
+        score = np.array([min(max(int(s), -(1 << 63)), (1 << 63) - 1) for s in score], np.int64)
+        first = np.lexsort((self.ids, ~score))  # ~ reverses the order and, unlike the minus sign, has no exception
+        first = first[~np.isin(first, own)][:k]
+        return self.ids[first], score[first]
+
     def top(self, query: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids and scores of the query's first k in this block, without vector `skip`."""
         own = np.nonzero(self.ids == skip)[0]
+        if self.wide * float(np.abs(query.astype(float)).max()) >= 2.0**61:
+            return self.top_wide(query, k, own)
         n, dims = self.values.shape
         up, s = query > 0, np.arange(STEPS)
         # The most that a vector of a segment adds over the component's worst value; segments from the good end.
@@ -83,46 +97,55 @@ class Block:
         return self.ids[maybe][first], score[first]
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index blocks of vectors of one length each."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    count: dict[int, int] = {}
-
-    def flush(dims: int) -> pa.RecordBatch:
-        ids, values = (np.concatenate(x) for x in zip(*held.pop(dims)))
-        count.pop(dims)
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((dims, pa.int32()), (ids.tobytes(), pa.binary()), (values.tobytes(), pa.binary()))], ["dims", "ids", "vectors"])
-
-    for b in batches:
-        ids, lists = b.column(0).to_numpy(), b.column(1)
-        sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-        start = np.concatenate(([0], np.cumsum(sizes)))
-        for dims in np.unique(sizes).tolist():
-            own = np.nonzero(sizes == dims)[0]
-            most = max(256, BLOCK // max(dims, 1))
-            for a in range(0, len(own), most):
-                some = own[a : a + most]
-                held.setdefault(dims, []).append((ids[some], flat[start[some][:, None] + np.arange(dims)]))
-                count[dims] = count.get(dims, 0) + len(some)
-                if count[dims] >= most:
-                    yield flush(dims)
-    for dims in list(held):
-        yield flush(dims)
-
-
-def _search(queries, k: int):
+def _build(most: int):
+    """Blocks of vectors of one length each, from (ids..., v): what identifies them and their components, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        count: dict[int, int] = {}
+
+        def flush(dims: int) -> pa.RecordBatch:
+            ids, values = (np.concatenate(x) for x in zip(*held.pop(dims)))
+            count.pop(dims)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((dims, pa.int32()), (ids.tobytes(), pa.binary()), (values.tobytes(), pa.binary()))], ["dims", "ids", "vectors"])
+
+        for b in batches:
+            ids = np.stack([b.column(i).to_numpy() for i in range(b.num_columns - 1)], axis=1)
+            lists = b.column(b.num_columns - 1)
+            sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+            start = np.concatenate(([0], np.cumsum(sizes)))
+            for dims in np.unique(sizes).tolist():
+                own = np.nonzero(sizes == dims)[0]
+                rows = max(256, most // max(dims, 1))
+                for a in range(0, len(own), rows):
+                    some = own[a : a + rows]
+                    held.setdefault(dims, []).append((ids[some], flat[start[some][:, None] + np.arange(dims)]))
+                    count[dims] = count.get(dims, 0) + len(some)
+                    if count[dims] >= rows:
+                        yield flush(dims)
+        for dims in list(held):
+            yield flush(dims)
+
+    return run
+
+
+def _search(k: int):
+    """Rows are a block of the index (block, dims, ids, vectors) beside one of queries (asked, asked_vectors); those of one
+    index block follow each other, so its postings are sorted once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, block = None, None
         for b in batches:
-            for dims, ids, vectors in zip(*(b.column(i).to_pylist() for i in range(3))):
-                ids = np.frombuffer(ids, np.int64)
-                block = Block(ids, np.frombuffer(vectors, np.int64).reshape(len(ids), dims))
+            for name, dims, ids, vectors, asked, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(i) for i in range(2, 6))):
+                if name != last:
+                    ids = np.frombuffer(ids.as_py(), np.int64)
+                    last, block = name, Block(ids, np.frombuffer(vectors.as_py(), np.int64).reshape(len(ids), dims))
+                asked = np.frombuffer(asked.as_py(), np.int64).reshape(-1, 2)
                 out = []
-                for row, query, vector in queries.value:
-                    if len(vector) == dims:
-                        who, score = block.top(vector, k, query)
-                        out.append((np.full(len(who), row), np.full(len(who), query), who, score))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["row", "query_id", "vec_id", "score"])
+                for (row, query), vector in zip(asked.tolist(), np.frombuffer(wanted.as_py(), np.int64).reshape(len(asked), dims)):
+                    who, score = block.top(vector, k, query)
+                    out.append((np.full(len(who), row), np.full(len(who), query), who, score))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -133,32 +156,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     vec_id take no part.
 
     Rows whose v or vec_id is null or empty are left out; only vectors of the query's length can be found. Repeated rows of
-    vectors are found each for itself, and repeated queries answered once for each different vector. Components must fit
-    into 26 bits or so, or the products overflow. Queries are taken QUERIES at a time, whatever their number: a block of
-    them is broadcast and meets every index block, and each gives its k best of a block, so nothing grows with the
-    product of both tables. Empty tables give an empty result.
+    vectors are found each for itself, and repeated queries answered once for each different vector. Products are exact; a
+    score beyond the range of a long is the nearest long, and ties with others there. Other columns are ignored; empty tables
+    give an empty result.
+
+    Blocks of queries meet blocks of the index by a join on the vectors' length and a salt, which spreads the index over the
+    tasks and gives each of them all queries. Each pair of blocks gives its k best of a query, so nothing grows with the
+    product of both tables but the work.
     """
     spark = vectors.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     clean = lambda df: df.where("vec_id is not null and size(v) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), "v")
-    index = materialise(clean(vectors).mapInArrow(_build, "dims int, ids binary, vectors binary").repartition(spread), "index")
-    asked = materialise(clean(queries).distinct(), "queries")
-    parts, held, row = [], [], 0
-
-    def search() -> None:
-        sent = spark.sparkContext.broadcast(held.copy())
-        parts.append(materialise(index.mapInArrow(_search(sent, k), "row long, query_id long, vec_id long, score long"), "found"))
-        held.clear()
-
-    for r in asked.toLocalIterator():
-        held.append((row, r["vec_id"], np.array(r["v"], np.int64)))
-        row += 1
-        if len(held) == QUERIES:
-            search()
-    if held or not parts:
-        search()
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
+    index = clean(vectors).mapInArrow(_build(BLOCK), "dims int, ids binary, vectors binary")
+    index = materialise(index.select(F.monotonically_increasing_id().alias("block"), "*"), "index").withColumn("salt", F.pmod(F.col("block") + F.shiftrightunsigned("block", 33), F.lit(spread)))
+    asked = materialise(clean(queries).distinct().select(F.monotonically_increasing_id().alias("row"), "*"), "queries")
+    asked = asked.mapInArrow(_build(QUERIES), "dims int, ids binary, vectors binary")
+    asked = asked.select("dims", F.col("ids").alias("asked"), F.col("vectors").alias("asked_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("salt"))
+    both = index.join(asked, ["dims", "salt"]).select("block", "dims", "ids", "vectors", "asked", "asked_vectors")
+    found = both.mapInArrow(_search(k), "row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

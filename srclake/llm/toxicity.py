@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srclake.llm.common import text_bytes
+from srclake.llm.common import slices, text_bytes
 
 #: Hash buckets, labelled documents to learn from at most, terms that the machine keeps, length of a term's vector.
 BUCKETS, TRAIN_ROWS, TERMS, FACTORS = 1 << 18, 12_000, 6_000, 4
@@ -134,12 +134,10 @@ def learn(lists: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
 
 def _score(machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for a in range(0, b.num_rows, 256):
-                lists = [_terms.of(x.as_py()) for x in b.column(1).slice(a, 256)]
-                out.append(_sigmoid(machine.value.margins(np.concatenate(lists), np.concatenate(([0], np.cumsum([len(x) for x in lists]))))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else [], pa.float64())], ["doc_id", "score"])
+        for b in slices(batches, 1):
+            lists = [_terms.of(x.as_py()) for x in b.column(1)]
+            score = _sigmoid(machine.value.margins(np.concatenate(lists), np.concatenate(([0], np.cumsum([len(x) for x in lists])))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     return run
 
@@ -163,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, score double): a row for each row of docs(doc_id, text, ...), 0 to 1. Null and empty text get the score of a
-    text without terms. Only the text goes into the score. Rows stay as they are; empty input gives an empty result. The
-    machine is of fixed size and is broadcast."""
+    text without terms. Only the text goes into the score; a very long one is its different terms. Rows stay as they are;
+    empty input gives an empty result. The machine is of fixed size and is broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(_score(sent), "doc_id long, score double")

@@ -128,7 +128,7 @@ def test_cascade_order_changes_cost_only(spark):
     kept = {r.doc_id for r in quality.keep_good(docs).collect()}
     assert kept == {i for i, _ in good} == {r.doc_id for r in quality.judged(docs).collect() if r.kept}
     for rules in (quality.RULES, quality.RULES[::-1]):
-        assert {r.doc_id for r in docs.where(quality.verdict(quality.clean_text(), list(rules)).isNull()).collect()} == kept
+        assert {r.doc_id for r in docs.where(quality.verdict(quality.Facts(quality.clean_text(), quality._words(quality.clean_text())), list(rules)).isNull()).collect()} == kept
 
 
 def test_line_templates(spark, odd, empty):
