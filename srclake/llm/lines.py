@@ -102,7 +102,10 @@ def recurring(docs: DataFrame) -> DataFrame:
 
 def _templated(texts: DataFrame, rows: DataFrame, crowded: DataFrame) -> DataFrame:
     """(full): lines of crowded leaves that are as their leaf's template, if the template recurs with those lines alone."""
-    lines = texts.select(F.explode(_leaves(F.col("text"))).alias("x")).select("x.leaf", "x.full", "x.masked")
+    # One text for each line shows what the line is; other texts are not read again.
+    shown = rows.join(crowded, "leaf", "left_semi").groupBy("leaf", "full").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2").distinct()
+    keyed = texts.select(*_key(F.col("text")), "text").join(few(materialise(shown, "shown")), ["k1", "k2"], "left_semi")
+    lines = keyed.select(F.explode(_leaves(F.col("text"))).alias("x")).select("x.leaf", "x.full", "x.masked")
     lines = materialise(lines.join(crowded, "leaf", "left_semi").groupBy("leaf", "full").agg(F.first("masked").alias("masked")), "crowded")
     tokens = lines.select("leaf", "full", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     counts = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))

@@ -26,18 +26,30 @@ def total(x: Column) -> Column:
 
 
 def prefix_sums(values: Column) -> Column:
-    """For each element the sum of those before it. Two levels of sums keep long arrays from costing their square."""
+    """For each element the sum of those before it. Sums of blocks, and of blocks of blocks, keep an array of n elements from
+    costing its square: with three levels the cost is n * STRIDE and (n / STRIDE ** 2) ** 2."""
 
-    def sums(x: Column) -> Column:
+    def sums(x: Column, levels: int) -> Column:
+        if not levels:
+            return F.transform(upto(F.size(x)), lambda b: total(F.slice(x, F.lit(1), b)))
         blocks = F.transform(upto(F.ceil(F.size(x) / STRIDE)), lambda b: total(F.slice(x, b * STRIDE + 1, STRIDE)))
+        before = lambda b: sums(b, levels - 1)
+        return let(let(blocks, before), lambda s: F.transform(upto(F.size(x)), lambda i: s[F.floor(i / STRIDE).cast("int")] + total(F.slice(x, i - i % STRIDE + 1, i % STRIDE))))
 
-        def within(blocks: Column) -> Column:
-            before = F.transform(upto(F.size(blocks)), lambda b: total(F.slice(blocks, F.lit(1), b)))
-            return let(before, lambda s: F.transform(upto(F.size(x)), lambda i: s[F.floor(i / STRIDE).cast("int")] + total(F.slice(x, i - i % STRIDE + 1, i % STRIDE))))
+    return let(values, lambda x: sums(x, 2))
 
-        return let(blocks, within)
 
-    return let(values, sums)
+def counts_before(at: Column, marks: Column) -> Column:
+    """For each of the places `at` how many of `marks` are before it: one sort of both and sums over it."""
+    nothing = F.lit(None).cast("int")
+    events = F.array_sort(F.concat(F.transform(marks, lambda m: F.struct((m + 1).cast("long").alias("at"), F.lit(0).alias("k"), nothing.alias("i"))), F.transform(at, lambda a, i: F.struct(a.cast("long").alias("at"), F.lit(1).alias("k"), i.alias("i")))))
+
+    def tagged(e: Column) -> Column:
+        before = prefix_sums(F.transform(e, lambda x: F.when(x["k"] == 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
+        own = F.filter(F.zip_with(e, before, lambda x, n: F.struct(x["i"].alias("i"), n.alias("n"))), lambda x: x["i"].isNotNull())
+        return F.transform(F.array_sort(own), lambda x: x["n"])
+
+    return let(events, tagged)
 
 
 def matches(text: Column, pattern: str, group: int | None = None) -> Column:
