@@ -23,6 +23,8 @@ from srclake.llm.native import let
 LEAD, LEAST, ALIKE = 3, 5, 70
 #: Cells in which a text looks for its near copies; each is a pair of least hashes of its lines.
 CELLS = 6
+#: Copies that a first text meets in one task, about so many.
+HOT = 1024
 #: A token with a digit; white space within a line that is not one space between tokens.
 _FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 _ODD_SPACE, _SPACE = r"[\x09\x0B-\x0D]|\x20\x20", r"[\x20\x09\x0B-\x0D]+"
@@ -70,7 +72,12 @@ def _families(texts: DataFrame) -> DataFrame:
     cells = materialise(cells, "cells")
     shared = cells.groupBy("cell").agg(F.min("k1").alias("first"), F.max("k1").alias("last")).where("first <> last").select("cell", "first")
     pairs = materialise(cells.join(shared, "cell").where("k1 <> first").select("k1", "first").distinct(), "pairs")
-    pairs = pairs.join(texts.select("k1", F.col("leads").alias("x")), "k1").join(texts.select(F.col("k1").alias("first"), F.col("leads").alias("y")), "first")
+    # The first text of a large family meets its copies in parts.
+    hot = few(materialise(pairs.groupBy("first").agg(F.ceil(F.count("*") / HOT).cast("int").alias("g")).where("g > 1"), "hot"))
+    parts = F.coalesce("g", F.lit(1))
+    x = pairs.join(texts.select("k1", F.col("leads").alias("x")), "k1").join(hot, "first", "left").withColumn("part", F.pmod(F.xxhash64("k1"), parts).cast("int")).drop("g")
+    y = texts.select(F.col("k1").alias("first"), F.col("leads").alias("y")).join(hot, "first", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("g")
+    pairs = x.join(y, ["first", "part"])
     both = F.size(F.array_intersect("x", "y"))
     links = pairs.where(3 * both > F.size("x") + F.size("y")).select(F.col("k1").alias("u"), F.col("first").alias("v"))
     return components(links).withColumnsRenamed({"node": "k1", "component": "family"})
@@ -110,10 +117,11 @@ def _templated(texts: DataFrame, rows: DataFrame, crowded: DataFrame) -> DataFra
     tokens = lines.select("leaf", "full", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     counts = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     best = counts.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("n"), F.sum("n").alias("all"))
-    constant = best.where(2 * F.col("n") > F.col("all")).select("leaf", "at", "token")
-    alike = tokens.join(constant, ["leaf", "at", "token"]).groupBy("leaf", "full").agg(F.count("*").alias("same"))
-    near = alike.join(lines.select("leaf", "full", F.size(F.split("masked", " ")).alias("n")), ["leaf", "full"]).where(100 * F.col("same") >= ALIKE * F.col("n")).select("leaf", "full")
-    near = materialise(near, "alike")
+    constant = F.when(2 * F.col("n") > F.col("all"), F.struct("at", "token"))
+    templates = best.groupBy("leaf").agg(F.map_from_entries(F.collect_list(constant)).alias("template"))  # a line's places at most
+    own = F.split("masked", " ")
+    same = F.size(F.filter(own, lambda t, i: F.coalesce(F.try_element_at("template", i) == t, F.lit(False))))
+    near = materialise(lines.join(templates, "leaf").where(100 * same >= ALIKE * F.size(own)).select("leaf", "full"), "alike")
     again = _counted(rows.join(near.select("full"), "full", "left_semi"), "leaf")
     return near.join(again, "leaf", "left_semi").select("full")
 
@@ -122,7 +130,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     """docs with the lines dropped whose template recurs across documents; n_chars, if there, is the new text's length.
 
     All rows and columns of docs(text, ...) stay, also rows that lose all lines (their text is then empty); texts without a
-    recurring line stay byte for byte. Null text stays null. Repeated rows lose the same lines and count as one document.
+    recurring line stay byte for byte. Null text stays null; a very long text is a row of its lines' hashes. Repeated rows lose the same lines and count as one document.
     Empty input gives an empty result. Lines are shuffled as hashes only, and the text of crowded leaves; the texts
     themselves meet the lists of lines by hash, by broadcast where the lists are small enough for Spark's threshold.
     """
