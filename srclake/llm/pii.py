@@ -1,9 +1,10 @@
 """Personal data by weak supervision, on DataFrame and SQL functions alone.
 
-Strict patterns give base spans, loose ones give candidates. Labelers (pattern, gazetteer, context, company, shape) vote on
-each span: 1 for, -1 against, 0 no opinion. Expectation-maximisation over the counts of vote patterns, of which there is a
-fixed number at most whatever the corpus, estimates each labeler's reliabilities; the posteriors are the soft labels on
-which a logistic span classifier is trained. Base spans stay; candidates stay if the classifier says so. Both fits are
+Strict patterns give base spans, loose ones give candidates. Labelers (form, gazetteer, context, company, shape) vote on
+each span: 1 for, -1 against, 0 no opinion; none of them knows which of the two a span is. Expectation-maximisation over the
+counts of vote patterns, of which there is a fixed number at most whatever the corpus, estimates each labeler's
+reliabilities. The posteriors are the soft labels on which a logistic span classifier is trained, which also sees signs of
+the span and its context that no labeler votes by. Base spans stay; candidates stay if the classifier says so. Both fits are
 array expressions over one row of counts.
 """
 
@@ -41,6 +42,13 @@ LOOSE = (
 NEEDS = ("@", ".", r"[0-9]", "+")
 LOOSE_NEEDS = (r"[\[({]at[\])}]", r"[0-9A-Fa-f]:[0-9A-Fa-f]", r"[0-9]{4}[.\x20/][0-9]{4}", r"[0-9]{3}[.-][0-9]{4}")
 
+#: Forms, as patterns for each kind that well-formed values match, however they are spelled.
+FORM = (
+    r"^[A-Za-z0-9](?:[A-Za-z0-9]|[._%+-](?=[A-Za-z0-9])){0,63}\x20?(?:@|\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9][A-Za-z0-9.\x20()\[\]{}-]*[A-Za-z]{2}$",
+    r"^(?:(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7})$",
+    r"^(?:[0-9]{12,19}|[0-9]{4}(?:[\x20./-][0-9]{4}){2,3}(?:[\x20./-][0-9]{1,3})?|[0-9]{4}[\x20./-][0-9]{6}[\x20./-][0-9]{5})$",
+    r"^\+?(?:[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,5}){1,4}$",
+)
 #: Gazetteers, as patterns that a span of the kind matches: top-level domains, reserved networks, issuers, country codes.
 KNOWN = (
     r"(?i)(?:\.|dot[\])}]\x20?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us|ca|it|nl|ch|at|be|pt|mx|ar)$",
@@ -56,10 +64,19 @@ CUES = (
     r"(?i)(?:call|phone|tel|fax|mobil|anruf|appel|llam)",
 )
 AGAINST = r"(?i)(?:version|\bv\.?|section|isbn|serial|order|invoice|chapter|release|build|part no)[\s:#.]*$"
+#: Given names and forms of address: a person is spoken of.
+PERSON = (
+    r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Se\u00f1or|Se\u00f1ora|Sr|Sra|"
+    r"Adam|Alex|Alice|Amir|Ana|Andrea|Anna|Antonio|Ben|Carlos|Carmen|Charlotte|Chen|Claire|Clara|Daniel|David|Elena|Emily|Emma|Eric|Eva|Fatima|Felix|"
+    r"Fran\u00e7ois|George|Hannah|Hans|Helen|Henry|Ivan|Jack|James|Jan|Jean|Jos\u00e9|John|Juan|Julia|Karl|Kate|Laura|Lea|Leon|Li|Lisa|Louis|Luc|Lucas|Luis|"
+    r"Manuel|Maria|Marie|Mark|Martin|Mary|Max|Michael|Mohammed|Nina|Noah|Olivia|Omar|Oscar|Paul|Pedro|Peter|Pierre|Robert|Rosa|Sara|Sarah|Sofia|Sophie|"
+    r"Stefan|Susan|Thomas|Tom|Victor|Wang|William|Yusuf|Zhang)\b"
+)
 BEFORE, NEAR = 40, 200
-#: Votes of a span, and the classifier's features: a constant, kinds, votes for and against by labeler, and strictness.
-LABELERS = 5
-FEATURES = 1 + len(KINDS) + 2 * LABELERS
+#: Votes of a span; signs of a span and its context beside the votes; the classifier's features: a constant, kinds, votes for
+#: and against by labeler, and signs.
+LABELERS, SIGNS = 5, 6
+FEATURES = 1 + len(KINDS) + 2 * LABELERS + SIGNS
 EM_ROUNDS, FIT_ROUNDS, RATE = 25, 150, 2.0
 
 
@@ -102,16 +119,32 @@ def _spans(text: Column, patterns: tuple[str, ...], needs: tuple[str, ...], stri
     return F.concat(*out)
 
 
-def _votes(text: Column, span: Column, base: Column, strict: bool) -> Column:
-    """array<int> of LABELERS votes."""
-    context = F.substring(text, F.greatest(span["start"] + 1 - BEFORE, F.lit(1)).cast("int"), F.least(span["start"], F.lit(BEFORE)).cast("int"))
+def _context(text: Column, span: Column) -> Column:
+    """The BEFORE characters in front of a span."""
+    return F.substring(text, F.greatest(span["start"] + 1 - BEFORE, F.lit(1)).cast("int"), F.least(span["start"], F.lit(BEFORE)).cast("int"))
+
+
+def _signs(context: Column, value: Column) -> Column:
+    """array<boolean> of SIGNS."""
+    return F.array(
+        context.rlike(r"[:=]\s*$"),
+        context.rlike(r"(?:^|\n|[<(\[\"'])$"),
+        context.rlike(PERSON),
+        value.rlike("[A-Za-z]"),
+        value.rlike(r"(?:[0-9][^0-9]*+){10}"),
+        value.rlike(r"[\x20()]"),
+    )
+
+
+def _votes(context: Column, span: Column, starts: Column) -> Column:
+    """array<int> of LABELERS votes. starts: of all base spans of the text, in order."""
     pick = lambda table: F.get(F.array(*[F.lit(x) for x in table]), span["kind"])
     sign = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     digits = F.regexp_replace(span["value"], "[^0-9]", "")
-    company = F.exists(base, lambda o: (o["start"] != span["start"]) & (F.abs(o["start"] - span["start"]) <= NEAR))
+    company = F.exists(starts, lambda o: (o != span["start"]) & (F.abs(o - span["start"]) <= NEAR))
     dull = digits.rlike(r"^(?:([0-9])\1*|0?123456[0-9]*)$")
     return F.array(
-        F.lit(1 if strict else 0),
+        F.when(_rlike(span["value"], pick(FORM)), 1).otherwise(-1),
         F.when(_rlike(span["value"], pick(KNOWN)), 1).otherwise(-1),
         sign(_rlike(context, pick(CUES)), context.rlike(AGAINST)),
         F.when(company, 1).otherwise(0),
@@ -124,20 +157,24 @@ def _rlike(value: Column, pattern: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, loose): spans(start, end, kind, votes) of each row of docs; loose ones overlap no base span."""
-    kept = lambda spans, strict: F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"], _votes(F.col("text"), s, F.col("base"), strict).alias("votes")))
+    """(doc_id, base, loose): spans(start, end, kind, votes, signs) of each row of docs; loose ones overlap no base span."""
+    starts = lambda: F.transform("base", lambda o: o["start"])
+
+    def judged(s: Column) -> Column:
+        return let(_context(F.col("text"), s), lambda c: F.struct(s["start"], s["end"], s["kind"], _votes(c, s, starts()).alias("votes"), _signs(c, s["value"]).alias("signs")))
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("base", _spans(F.col("text"), STRICT, NEEDS, True))
     rows = rows.withColumn("loose", _spans(F.col("text"), LOOSE, LOOSE_NEEDS, False))
     free = F.filter("loose", lambda s: ~F.exists("base", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
-    return rows.select("doc_id", kept(F.col("base"), True).alias("base"), kept(free, False).alias("loose"))
+    return rows.select("doc_id", F.transform("base", judged).alias("base"), F.transform(free, judged).alias("loose"))
 
 
 def _patterns(found: DataFrame) -> DataFrame:
-    """One row: p, the different (kind, votes) with their counts. There are 4 * 3 ** LABELERS at most."""
+    """One row: p, the different (kind, votes, signs) with their counts, 4 * 3 ** LABELERS * 2 ** SIGNS at most."""
     spans = found.select(F.explode(F.concat("base", "loose")).alias("s"))
-    counts = spans.groupBy("s.kind", "s.votes").agg(F.count("*").cast("double").alias("n"))
-    return counts.agg(F.array_sort(F.collect_list(F.struct("kind", "votes", "n"))).alias("p"))
+    counts = spans.groupBy("s.kind", "s.votes", "s.signs").agg(F.count("*").cast("double").alias("n"))
+    return counts.agg(F.array_sort(F.collect_list(F.struct("kind", "votes", "signs", "n"))).alias("p"))
 
 
 def _posterior(p: Column, theta: Column) -> Column:
@@ -171,14 +208,15 @@ def _em(p: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(EM_ROUNDS)), F.array(*[F.lit(x) for x in first]), step)
 
 
-def _features(kind: Column, votes: Column) -> Column:
-    """FEATURES numbers: 1; a one for the kind; for each vote, whether it is for and whether it is against."""
+def _features(kind: Column, votes: Column, signs: Column) -> Column:
+    """FEATURES numbers: 1; a one for the kind; for each vote, whether it is for and whether it is against; the signs."""
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     return F.concat(
         F.array(F.lit(1.0)),
         F.transform(F.sequence(F.lit(0), F.lit(len(KINDS) - 1)), lambda k: flag(k == kind)),
         F.transform(votes, lambda v: flag(v > 0)),
         F.transform(votes, lambda v: flag(v < 0)),
+        F.transform(signs, flag),
     )
 
 
@@ -192,7 +230,7 @@ def _sigmoid(x: Column) -> Column:
 
 def _fit(p: Column, theta: Column) -> Column:
     """Weights of the logistic classifier on the posteriors, by FIT_ROUNDS steps of gradient descent."""
-    rows = F.transform(p, lambda x: F.struct(_features(x["kind"], x["votes"]).alias("x"), _posterior(x, theta).alias("q"), x["n"]))
+    rows = F.transform(p, lambda x: F.struct(_features(x["kind"], x["votes"], x["signs"]).alias("x"), _posterior(x, theta).alias("q"), x["n"]))
 
     def fit(r: Column) -> Column:
         n = F.aggregate(r, F.lit(0.0), lambda a, x: a + x["n"])
@@ -220,15 +258,15 @@ def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, base, spans): for each row of docs(doc_id, text, ...) its base spans and all its spans, both as
     array<struct<start, end, kind int>>, in code points, end exclusive; kind is a place in KINDS.
 
-    Null text is empty; texts without spans have empty arrays. Rows stay as they are, repeated or not; other columns are
-    ignored; empty input gives an empty result. A text's spans are found in its own row: no row meets another one but in the
+    Null text is empty; texts without spans have empty arrays; a very long text is scanned whole. Rows stay as they are,
+    repeated or not; other columns are ignored; empty input gives an empty result. A text's spans are found in its own row: no row meets another one but in the
     counts of vote patterns, and only the fitted numbers come to the driver.
     """
     found = materialise(candidates(docs), "spans")
     _, weights = model(found)
     w = F.array(*[F.lit(x) for x in weights])
     plain = lambda s: F.struct(s["start"], s["end"], s["kind"])
-    added = F.filter("loose", lambda s: _sigmoid(_dot(w, _features(s["kind"], s["votes"]))) > threshold)
+    added = F.filter("loose", lambda s: _sigmoid(_dot(w, _features(s["kind"], s["votes"], s["signs"]))) > threshold)
     return found.select("doc_id", F.transform("base", plain).alias("base"), F.concat(F.transform("base", plain), F.transform(added, plain)).alias("spans"))
 
 

@@ -63,6 +63,47 @@ def test_personal_data(spark, odd_rows):
     assert by and any(s.kind == pii.PHONE for r in pii.personal_data(plain).where("doc_id = 1 and size(base) = 0").collect() for s in r.spans)
 
 
+def plain_em(patterns):
+    """Expectation-maximisation with loops: P(personal) and P(vote | labeler, class)."""
+    prior, like = 0.8, np.array([[[0.5, 0.3, 0.2], [0.1, 0.3, 0.6]]] * pii.LABELERS)
+    for _ in range(pii.EM_ROUNDS):
+        one, total, cells = 0.0, 0.0, np.zeros_like(like)
+        for votes, n in patterns:
+            p = [1 - prior, prior]
+            for i, v in enumerate(votes):
+                p = [p[y] * like[i, y, v + 1] for y in (0, 1)]
+            q = p[1] / (p[0] + p[1])
+            one, total = one + n * q, total + n
+            for i, v in enumerate(votes):
+                cells[i, 1, v + 1] += n * q
+                cells[i, 0, v + 1] += n * (1 - q)
+        prior = (one + 4) / (total + 5)
+        like = (cells + 1) / (np.array([total - one, one])[None, :, None] + 3)
+    return [prior, *like.reshape(-1)]
+
+
+def test_expectation_maximisation_equals_plain_loops(spark):
+    rng = random.Random(17)
+    rows = [([rng.choice((-1, 0, 1)) for _ in range(pii.LABELERS)], float(rng.randint(1, 90))) for _ in range(60)]
+    frame = spark.createDataFrame([([(0, v, [False] * pii.SIGNS, n) for v, n in rows],)], "p array<struct<kind:int,votes:array<int>,signs:array<boolean>,n:double>>")
+    got = frame.select(pii._em(F.col("p")).alias("theta")).first().theta
+    assert np.allclose(got, plain_em(rows), rtol=1e-9)
+
+
+def test_added_spans_are_personal_data_mostly(spark):
+    """Spelled-out addresses and grouped numbers with and without signs of being personal, beside plenty of base spans."""
+    rng = random.Random(18)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    good, bad, plain = [], [], []
+    for i in range(120):
+        good.append((i, [f"please write to anna.k{i} [at] mail.example [dot] com today", f"call me, tel: (2{digits(2)}) {digits(3)}-{digits(4)} thanks", f"phone (2{digits(2)}) {digits(3)}-{digits(4)} or mail bob{i}@site.org"][i % 3]))
+        bad.append((1000 + i, [f"see section 1{digits(2)}-{digits(3)}-{digits(4)}", "order 111-111-1111 shipped", f"release 1{digits(2)}.{digits(3)}.{digits(4)}"][i % 3]))
+        plain.append((2000 + i, f"contact user{i}@mail.example.com or call +1 (415) {digits(3)}-{digits(4)} from host 8.8.{i}.7, version {i}.2.3.4, serial 4{digits(3)} {digits(4)}"))
+    found = {r.doc_id: len(r.spans) - len(r.base) for r in pii.personal_data(frame(spark, good + bad + plain)).collect()}
+    caught, wrong = sum(found[i] > 0 for i, _ in good) / len(good), sum(found[i] > 0 for i, _ in bad) / len(bad)
+    assert caught >= 0.9 and wrong <= 0.1
+
+
 def test_no_personal_data(spark, empty):
     assert pii.personal_data(empty).collect() == []
     assert [(r.doc_id, r.base, r.spans) for r in pii.personal_data(frame(spark, [(1, None)])).collect()] == [(1, [], [])]
