@@ -1,4 +1,4 @@
-"""Comparing two batches: one full outer join on the records' keys."""
+"""Comparing two batches: one aggregation of both by the records' keys."""
 
 from __future__ import annotations
 
@@ -31,22 +31,28 @@ def record_key(fields: Sequence[str] | None = None) -> Column:
     return F.struct(text("kind").alias("kind"), text("path").alias("path"), line.alias("line"), col.alias("col"), name.alias("name"))
 
 
-def last_of_key(records: DataFrame, fields: Sequence[str] | None = None, tasks: Sequence[str] = ()) -> DataFrame:
-    """The last record of each key, by the tasks' order in the plan, shard and seq; as columns key and record."""
+def _order(tasks: Sequence[str]) -> Column:
+    """The place of a record among those with its key."""
     place = F.array_position(F.array(*map(F.lit, tasks)), F.col("task_id")) if tasks else F.col("task_id")
-    order = F.struct(place, "shard_id", "seq")
+    return F.struct(place.alias("task"), "shard_id", "path", "seq")
+
+
+def last_of_key(records: DataFrame, fields: Sequence[str] | None = None, tasks: Sequence[str] = ()) -> DataFrame:
+    """The last record of each key, by the tasks' order in the plan, shard, path and seq; as columns key and record."""
     kept = [c for c in RECORD if c in records.columns]
-    return records.groupBy(record_key(fields).alias("key")).agg(F.max_by(F.struct(*kept), order).alias("record"))
+    return records.groupBy(record_key(fields).alias("key")).agg(F.max_by(F.struct(*kept), _order(tasks)).alias("record"))
 
 
 def diff(a: DataFrame, b: DataFrame, fields: Sequence[str] | None = None, tasks: Sequence[str] = (), kind: str | None = None) -> DataFrame:
     """(key, change, old, new): change is added, removed or changed. Equal records are in no row.
 
-    A maximum by key is partially aggregated, so a key with many records doesn't gather them in one task."""
+    Both batches go into one aggregation, so they are shuffled once and not joined; maxima by key are partially aggregated,
+    so a key with many records doesn't gather them in one task."""
     a, b = (x.where(F.col("kind") == kind) if kind else x for x in (a, b))
-    old = last_of_key(a, fields, tasks).withColumnRenamed("record", "old")
-    new = last_of_key(b, fields, tasks).withColumnRenamed("record", "new")
-    both = old.join(new, "key", "full_outer")
+    kept = [c for c in RECORD if c in a.columns]
+    rows = lambda df, old: df.select(record_key(fields).alias("key"), F.lit(old).alias("before"), F.struct(*kept).alias("record"), _order(tasks).alias("at"))
+    last = lambda before: F.max_by(F.when(F.col("before") == before, F.col("record")), F.when(F.col("before") == before, F.col("at")))
+    both = rows(a, True).unionAll(rows(b, False)).groupBy("key").agg(last(True).alias("old"), last(False).alias("new"))
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return both.withColumn("change", change).where("change is not null").select("key", "change", "old", "new")
 
@@ -67,12 +73,12 @@ def diagnostic_changes(a: DataFrame, b: DataFrame, tasks: Sequence[str] = ()) ->
 
 def regressions(a: DataFrame, b: DataFrame) -> DataFrame:
     """The new records."""
-    return diagnostic_changes(a, b).where("verdict = 'regression'").select("new.*").orderBy("path", "line", "col", "code")
+    return diagnostic_changes(a, b).where("verdict = 'regression'").select("new.*")
 
 
 def improvements(a: DataFrame, b: DataFrame) -> DataFrame:
     """The old records."""
-    return diagnostic_changes(a, b).where("verdict = 'improvement'").select("old.*").orderBy("path", "line", "col", "code")
+    return diagnostic_changes(a, b).where("verdict = 'improvement'").select("old.*")
 
 
 def numbered(records: DataFrame) -> DataFrame:

@@ -32,17 +32,29 @@ def brace_diagnostics(files: DataFrame) -> DataFrame:
 
 
 def trees(files: DataFrame) -> DataFrame:
-    """(shard_id, path, tree): the JSON of token and text statistics."""
+    """(shard_id, path, tree): the JSON of token and text statistics of files that are not Python."""
     info = lambda kind, mode, *more: F.to_json(F.struct(F.lit(mode).alias("ast_mode"), *more, F.lit(kind).alias("type")))
     script = token_info(files).select("shard_id", "path", info("TokenInfo", "tokens", F.lit("regex-fallback").alias("parser"), F.col("stats"), F.col("tokens")).alias("tree"))
     return script.unionByName(text_info(files).select("shard_id", "path", info("TextInfo", "text_stats", F.col("stats")).alias("tree")))
 
 
 def tree_records(parsed: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The ast record of each row of trees()."""
+    """The ast record of each row of parsed(shard_id, path, tree)."""
     large = F.octet_length("tree") > chunk
-    manifest = F.to_json(F.struct(F.lit("json").alias("format"), chunks(F.col("tree").cast("binary"), chunk).alias("chunks"), F.lit("ast").alias("kind"), F.octet_length("tree").alias("total_bytes")))
-    return select_records(parsed, kind="ast", path=F.col("path"), object=content_ref(F.when(large, manifest).otherwise(F.col("tree"))), format=F.when(large, "json+chunks").otherwise("json"))
+    return select_records(parsed, kind="ast", path=F.col("path"), object=content_ref(F.when(large, _manifest(chunk)).otherwise(F.col("tree"))), format=F.when(large, "json+chunks").otherwise("json"))
+
+
+def _manifest(chunk: int):
+    return F.to_json(F.struct(F.lit("json").alias("format"), chunks(F.col("tree").cast("binary"), chunk).alias("chunks"), F.lit("ast").alias("kind"), F.octet_length("tree").alias("total_bytes")))
+
+
+def tree_objects(parsed: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(object, content) of what tree_records refers to: trees, or manifests and the chunks that they list."""
+    large, content = F.octet_length("tree") > chunk, F.col("tree").cast("binary")
+    n = F.ceil(F.octet_length("tree") / chunk).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(content, i * chunk + 1, F.lit(chunk)))
+    every = F.when(large, F.concat(F.array(_manifest(chunk).cast("binary")), parts)).otherwise(F.array(content))
+    return parsed.select(F.explode(every).alias("content")).select(content_ref(F.col("content")).alias("object"), "content")
 
 
 def chunks(content, size: int):
@@ -66,7 +78,11 @@ def script_symbols(files: DataFrame) -> DataFrame:
     return select_records(rows, kind="symbol", path=F.col("path"), name="js_module", symbol_type="module", line=1, col=0, scope="file")
 
 
-def parse_records(files: DataFrame, python: DataFrame | None = None, emit_ast: bool = True, emit_diagnostics: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """All records of the parse task; python: those of Python files."""
-    parts = [tree_records(trees(files), chunk)] * emit_ast + [brace_diagnostics(files)] * emit_diagnostics + [python] * (python is not None)
-    return union_records(*parts)
+def lost_files(files: DataFrame, code: str) -> DataFrame:
+    """An error for each file whose object is not stored."""
+    return select_records(files.where("missing"), kind="diagnostic", path=F.col("path"), severity="error", code=code, message=F.concat(F.lit("Object cannot be read: "), "object"), line=1, col=1)
+
+
+def parse_records(files: DataFrame, parsed: DataFrame, errors: DataFrame, emit_ast: bool = True, emit_diagnostics: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """All records of the parse task, of the trees parsed(shard_id, path, tree) and the errors of all files."""
+    return union_records(tree_records(parsed, chunk).where(F.lit(emit_ast)), union_records(brace_diagnostics(files), errors).where(F.lit(emit_diagnostics)))

@@ -68,10 +68,24 @@ FOLLOWED = {
 DECISIONS = frozenset(("If", "IfExp", *LOOPS, "While", "ExceptHandler", "Assert", "ListComp", "SetComp", "DictComp", "GeneratorExp"))
 
 
+#: What a stored tree has of a node besides its children; other names of fields there; what counts as a child of its own.
+PLAIN = ("lineno", "col_offset", "end_lineno", "end_col_offset", "name", "id", "attr", "asname", "module", "arg")
+RENAMED = {"decorator_list": "decorators", "type": "exc_type"}
+NODES = (ast.expr, ast.stmt, ast.excepthandler, ast.withitem, ast.comprehension, ast.match_case)
+
+
 def _type(node: ast.AST) -> str:
     return type(node).__name__
 
 
+def _literal(value: object) -> object:
+    """A constant as JSON can have it."""
+    if isinstance(value, bytes):
+        return f"<bytes:{len(value)}>"
+    finite = not isinstance(value, float) or value - value == 0
+    return value if isinstance(value, (str, int, float, type(None))) and finite else f"<{type(value).__name__}>"
+
+
 class Tree:
     """The nodes of one source that the model has, with the facts about them."""
 
@@ -81,6 +95,7 @@ class Tree:
             warnings.simplefilter("ignore")
             self.root = ast.parse(source)
         self.full = full
+        self.nodes = sum(1 for _ in ast.walk(self.root))
         self.depth: dict[int, int] = {}
         self.ids: dict[int, int] = {}
         for node in self.root.body:
@@ -94,11 +109,12 @@ class Tree:
             for _, child in self._held(node):
                 self._measure(child, depth + 1)
 
-    def _held(self, node: ast.AST) -> Iterator[tuple[str, ast.AST]]:
+    def _fields(self, node: ast.AST) -> list[str]:
         fields = [*HELD.get(_type(node), ()), *EVERY]
-        if self.full:
-            fields += [f for f in node._fields if f not in fields]
-        for field in fields:
+        return fields + [f for f in node._fields if f not in fields] if self.full else fields
+
+    def _held(self, node: ast.AST) -> Iterator[tuple[str, ast.AST]]:
+        for field in self._fields(node):
             if field == "annotations":
                 found = [a.annotation for a in node.args.args if a.annotation]
             else:
@@ -126,7 +142,7 @@ class Tree:
         self.rows.append((fact, len(self.rows), name, label, getattr(node, "lineno", None), getattr(node, "col_offset", None), scope, ids, n))
 
     def facts(self) -> list[tuple]:
-        self.fact("module", n=sum(1 for _ in ast.walk(self.root)), label=json.dumps({"type": "Module", "body": [self._json(x) for x in self.root.body]}, sort_keys=True))
+        self.fact("module", n=self.nodes, label=self.tree())
         for node in self.root.body:
             self._counts(node, [])
             self._symbols(node, "module")
@@ -140,20 +156,41 @@ class Tree:
             self.fact("use", name)
         return self.rows
 
-    def _json(self, node: ast.AST) -> dict:
-        if self.depth[id(node)] > DEPTH:
-            return {"type": _type(node), "truncated": True}
-        out: dict = {"type": _type(node)}
-        out |= {k: v for k in ("name", "id", "attr", "module", "lineno", "col_offset") if isinstance(v := getattr(node, k, None), (str, int))}
+    def tree(self) -> str:
+        """The tree as JSON, with the number of all its nodes, also of those that the model leaves out."""
+        return json.dumps({"type": "Module", "ast_mode": "full", "body": [self._json(x) for x in self.root.body], "stats": {"total_nodes": self.nodes}}, sort_keys=True, separators=(",", ":"))
+
+    def _json(self, node: ast.AST, depth: int = 0) -> dict:
+        """The node as the stored tree has it; a field without a value is left out, but for body."""
+        kind = _type(node)
+        out: dict = {"type": kind}
+        if depth > DEPTH:
+            return out | {"truncated": True}
+        out |= {k: v for k in PLAIN if isinstance(v := getattr(node, k, None), (str, int))}
         if isinstance(node, ast.Constant):
-            value = node.value
-            out["value"] = value if isinstance(value, (str, int, type(None))) or isinstance(value, float) and value == value and abs(value) != float("inf") else f"<bytes:{len(value)}>" if isinstance(value, bytes) else f"<{type(value).__name__}>"
-        if isinstance(node, (ast.Import, ast.ImportFrom)):
+            out["value"] = _literal(node.value)
+        elif isinstance(node, (ast.Import, ast.ImportFrom)):
             out["names"] = [{"name": a.name, "asname": a.asname} for a in node.names]
-        for field, child in self._held(node):
-            out.setdefault("exc_type" if field == "type" else field, []).append(self._json(child))
+            out |= {"level": node.level} if kind == "ImportFrom" else {}
+        elif isinstance(node, ast.BoolOp):
+            out["op"] = _type(node.op)
+        elif kind in FUNCTIONS:
+            out["args"] = self._arguments(node.args, depth + 1)
+        for field in self._fields(node):
+            child = getattr(node, field, None)
+            if field == "keywords" and kind == "Call":
+                out |= {field: [{"arg": k.arg, "value": self._json(k.value, depth + 1)} for k in child]} if child else {}
+            elif isinstance(child, list) and (child or field == "body"):
+                out[RENAMED.get(field, field)] = [self._json(c, depth + 1) if isinstance(c, ast.AST) else None for c in child]
+            elif isinstance(child, NODES) and (field not in EVERY or self.full):
+                out[RENAMED.get(field, field)] = self._json(child, depth + 1)
         return out
 
+    def _arguments(self, args: ast.arguments, depth: int) -> dict:
+        one = lambda a: {"arg": a.arg, "annotation": self._json(a.annotation, depth) if a.annotation else None}
+        out = {k: [one(a) for a in found] for k in ("args", "posonlyargs", "kwonlyargs") if (found := getattr(args, k))}
+        return out | {k: {"arg": found.arg} for k in ("vararg", "kwarg") if (found := getattr(args, k))}
+
     def _counts(self, node: ast.AST, outer: list[int]) -> None:
         kind = _type(node)
         if kind in FUNCTIONS:

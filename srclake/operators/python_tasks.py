@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srclake.functions.scalar import content_ref
 from srclake.operators.python_facts import of_files
 from srclake.operators.records import record, select_records, union_records
 
 METRICS = ("complexity", "max_complexity", "function_count", "class_count", "import_count")
 
 
-def parse_records(facts: DataFrame, files: DataFrame, emit_ast: bool = True, emit_diagnostics: bool = True) -> DataFrame:
-    trees = select_records(of_files(facts, files, "module"), kind="ast", path=F.col("path"), object=content_ref(F.col("label")), format="json")
-    errors = select_records(of_files(facts, files, "error"), kind="diagnostic", path=F.col("path"), severity="error", code=F.col("label"), message=F.col("name"), line=F.col("line"), col=F.col("col"))
-    return union_records(*[trees.where(F.lit(emit_ast)), errors.where(F.lit(emit_diagnostics))])
+def trees(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """(shard_id, path, tree)."""
+    return of_files(facts, files, "module").select("shard_id", "path", F.col("label").alias("tree"))
+
+
+def error_records(facts: DataFrame, files: DataFrame) -> DataFrame:
+    return select_records(of_files(facts, files, "error"), kind="diagnostic", path=F.col("path"), severity="error", code=F.col("label"), message=F.col("name"), line=F.col("line"), col=F.col("col"))
+
+
+def lost_trees(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """A warning for each Python file with text whose parse left neither a tree nor an error."""
+    parsed = facts.where(F.col("fact").isin("module", "error")).select("object")
+    rows = files.where("lang_hint = 'python' and text is not null").join(parsed, "object", "left_anti")
+    return select_records(rows, kind="diagnostic", path=F.col("path"), severity="warning", code="L998", message="Syntax tree cannot be read", line=1, col=1)
 
 
 def complexity(facts: DataFrame) -> DataFrame:

@@ -33,17 +33,17 @@ def diagnostics(records: DataFrame, severity: str | None = None, code: str | Non
 
 
 def files_with_kind(records: DataFrame, kind: str) -> DataFrame:
-    return _where(records, kind=kind).select("path").distinct().orderBy("path")
+    return _where(records, kind=kind).select("path").distinct()
 
 
 def failed_files(records: DataFrame) -> DataFrame:
-    return diagnostics(records, severity="error").select("path").distinct().orderBy("path")
+    return diagnostics(records, severity="error").select("path").distinct()
 
 
 def errors(records: DataFrame, tasks: list[str], limit: int = LIMITS["errors"]) -> DataFrame:
     """Errors of all tasks in the plan's order, the first `limit` of them."""
     place = F.array_position(F.array(*map(F.lit, tasks)), F.col("task_id"))
-    return diagnostics(records, severity="error").where(F.col("task_id").isin(tasks)).orderBy(place, "shard_id", "seq").limit(limit)
+    return diagnostics(records, severity="error").where(F.col("task_id").isin(tasks)).orderBy(place, "shard_id", "path", "seq").limit(limit)
 
 
 def inspect(records: DataFrame, path: str, kinds: list[str] | None = None) -> DataFrame:

@@ -30,11 +30,10 @@ def union_records(first: DataFrame, *more: DataFrame) -> DataFrame:
 
 
 def enrich(records: DataFrame, snapshot_id: str, batch_id: str, task_id: str, ts: Column | None = None) -> DataFrame:
-    """Adds the run's identity. seq orders a task's records by their content: within a file by kind, line and column."""
+    """Adds the run's identity. seq orders a file's records of a task by their content: by kind, line and column."""
     key = F.xxhash64(*RECORD)  # of equal records, either order is the same
-    seq = F.array_join(F.array(F.coalesce("path", F.lit("")), "kind"), "\x1f")
     run = {"schema_version": F.lit(SCHEMA_VERSION), "snapshot_id": F.lit(snapshot_id), "batch_id": F.lit(batch_id), "task_id": F.lit(task_id), "shard_id": F.col("shard_id"), "ts": ts if ts is not None else F.current_timestamp()}
     out = records.withColumns({k: v.cast(RUN[k]) for k, v in run.items() if k != "shard_id"})
-    order = Window.partitionBy("shard_id").orderBy(seq, F.coalesce("line", F.lit(0)), F.coalesce("col", F.lit(0)), F.coalesce("code", "metric", "name", "target", F.lit("")), key)
+    order = Window.partitionBy("shard_id", "path").orderBy("kind", F.coalesce("line", F.lit(0)), F.coalesce("col", F.lit(0)), F.coalesce("code", "metric", "name", "target", F.lit("")), key)
     out = out.withColumn("seq", F.row_number().over(order).cast("bigint") - 1)
     return out.select(*RUN, *RECORD, F.lit(None).cast("string").alias("extra"))

@@ -286,7 +286,7 @@ def _without(spark, d):
     return query.files_without(corpus(spark, d), records(spark, d), "symbol").select("path")
 
 
-@add("errors_limit", f"{BATCHES} SELECT path, code, line, severity FROM b WHERE severity = 'error' ORDER BY shard_id, doc_id, line LIMIT 50")
+@add("errors_limit", f"{BATCHES} SELECT path, code, line, severity FROM b WHERE severity = 'error' ORDER BY shard_id, path, line LIMIT 50")
 def _errors(spark, d):
     return query.errors(batch_b(spark, d), ["01_parse", "02_analyze", "03_symbols", "04_lint"]).select("path", "code", "line", "severity")
 
@@ -480,15 +480,16 @@ def _lint_python(code: str, rows: list[tuple]) -> None:
 _lint_python("L101", [("a.py", "warning", "Unused import 'os'", 1), ("a.py", "warning", "Unused import 'system'", 1), ("a.py", "warning", "Unused import 'json'", 17)])
 _lint_python("L102", [("a.py", "warning", "Unused variable 'i'", 7), ("a.py", "warning", "Unused variable 'y'", 13), ("a.py", "warning", "Unused variable 'e'", 18)])
 _lint_python("L103", [("a.py", "info", "Variable 'x' shadows variable from outer scope", 5), ("a.py", "info", "Parameter 'a' shadows variable from outer scope", 9), ("a.py", "info", "Parameter 'x' shadows variable from outer scope", 14)])
-add("py_syntax_error", _values([("b.py", "error", "E0001", 1, 7)], "path, severity, code, line, col"))(_with_facts(lambda facts, files: python_tasks.parse_records(facts, files).where("kind = 'diagnostic'").select("path", "severity", "code", "line", "col")))
+add("py_syntax_error", _values([("b.py", "error", "E0001", 1, 7)], "path, severity, code, line, col"))(_with_facts(lambda facts, files: python_tasks.error_records(facts, files).select("path", "severity", "code", "line", "col")))
 
 
 @add("parse_corpus")
 def _parse_corpus(spark, d):
     """The whole parse task over the corpus, Python files included: records by kind, code and format."""
     files = corpus(spark, d)
-    python = python_tasks.parse_records(python_facts.python_facts(files), files)
-    return parse.parse_records(files, python).groupBy("kind", "code", "format").agg(F.count("*").alias("n"))
+    facts = python_facts.python_facts(files)
+    trees = parse.trees(files).unionByName(python_tasks.trees(facts, files))
+    return parse.parse_records(files, trees, python_tasks.error_records(facts, files)).groupBy("kind", "code", "format").agg(F.count("*").alias("n"))
 
 
 # streams

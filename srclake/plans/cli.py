@@ -92,7 +92,7 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> tuple[object, int]:
         one, two = store.outputs(a.batch), store.outputs(a.other)
         if c == "diff":
             return rows_of(diff.diff(one, two, kind=a.kind).orderBy("key")), 0
-        return rows_of((diff.regressions if c == "regressions" else diff.improvements)(one, two)), 0
+        return rows_of((diff.regressions if c == "regressions" else diff.improvements)(one, two).orderBy("path", "line", "col", "code")), 0
     simple = {
         "store-stats": lambda: rows_of(store.usage()),
         "snapshot": lambda: {"snapshot_id": store.snapshot(a.source, a.id, a.include_hidden)},

@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from srclake import schemas
 from srclake.functions.scalar import canonical_path, content_ref, is_text, language, path_key, shard_prefix
 from srclake.operators.files import initial_states, new_objects
+from srclake.operators.python_facts import FACTS
 from srclake.plans.errors import EngineError
 from srclake.plans.pipelines import PIPELINES, topological
 from srclake.sources.dirsnap import DirectorySource
 
-TABLES = {"files": schemas.FILES, "objects": schemas.OBJECTS, "snapshots": schemas.SNAPSHOTS, "batches": schemas.BATCHES, "tasks": schemas.TASKS, "states": schemas.SHARDS + ", at timestamp", "events": schemas.EVENTS, "outputs": schemas.OUTPUTS}
-PARTITIONS = {"files": ["snapshot_id", "shard_id"], "objects": ["prefix"], "outputs": ["batch_id", "task_id", "shard_id"], "tasks": ["batch_id"], "states": ["batch_id"], "events": ["batch_id"]}
+TABLES = {"files": schemas.FILES, "objects": schemas.OBJECTS, "snapshots": schemas.SNAPSHOTS, "batches": schemas.BATCHES, "tasks": schemas.TASKS, "states": schemas.SHARDS + ", at timestamp", "events": schemas.EVENTS, "outputs": schemas.OUTPUTS, "facts": "batch_id string, shard_id string, " + FACTS}
+PARTITIONS = {"files": ["snapshot_id", "shard_id"], "objects": ["prefix"], "outputs": ["batch_id", "task_id", "shard_id"], "facts": ["batch_id", "shard_id"], "tasks": ["batch_id"], "states": ["batch_id"], "events": ["batch_id"]}
 PRODUCER = {"name": "srclake", "version": "1.0"}
 
 
@@ -90,12 +91,15 @@ class Store:
         snapshot_id = snapshot_id or new_id("snap")
         if not self.read("snapshots").where(F.col("snapshot_id") == snapshot_id).isEmpty():
             raise EngineError("SNAPSHOT_INVALID", snapshot_id=snapshot_id)
-        rows = found.withColumn("p", canonical_path(F.col("path"))).withColumn("object", content_ref(F.col("content")))
+        # Staged, so that the source is read and hashed once and the objects, the index and the warnings are of one moment.
+        staging = f"{self.root}/indexes/staging-{uuid.uuid4().hex}"
+        rows = found.select(canonical_path(F.col("path")).alias("p"), "path", "content", content_ref(F.col("content")).alias("object"))
+        rows.write.parquet(staging)
+        rows = self.spark.read.schema(rows.schema).parquet(staging)
         good = rows.where("p.error is null and content is not null")
-        objects = good.select("object", "content", F.octet_length("content").cast("long").alias("size"), shard_prefix(F.col("object")).alias("prefix"))
-        self._write(new_objects(objects, self.read("objects")), "objects")
+        self.put(good.select("object", "content"))
         index = good.select(F.lit(snapshot_id).alias("snapshot_id"), F.lit(schemas.SCHEMA_VERSION).alias("schema_version"), F.col("p.path").alias("path"), path_key(F.col("p.path")).alias("path_key"), "object", F.octet_length("content").cast("long").alias("size"), language(F.col("p.path")).alias("lang_hint"), shard_prefix(F.col("object")).alias("shard_id"))
-        self._write(index.repartition("shard_id").sortWithinPartitions("shard_id", "path_key", "path"), "files")
+        self._write(self._dealt(index, "shard_id").sortWithinPartitions("shard_id", "path_key", "path"), "files")
         own = self.files(snapshot_id)
         warn = lambda kind, path, message: F.struct(F.lit(kind).alias("type"), path.alias("path"), message.alias("message"))
         bad = rows.where("p.error is not null").select(warn("invalid_path", F.col("path"), F.col("p.reason")).alias("w"))
@@ -107,8 +111,22 @@ class Store:
         head = F.struct(F.lit(where["type"]).alias("type"), F.lit(where["path"]).alias("path"))
         one = total.join(warnings, F.lit(True)).select(F.lit(snapshot_id).alias("snapshot_id"), F.lit(schemas.SCHEMA_VERSION).alias("schema_version"), F.current_timestamp().alias("created_at"), head.alias("source"), "file_count", "total_bytes", F.lit(include_hidden).alias("include_hidden"), _map(metadata).alias("metadata"), "warnings")
         self._write(one, "snapshots")
+        path = _path(self.spark, staging)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return snapshot_id
 
+    def put(self, objects: DataFrame) -> None:
+        """Stores objects(object, content) that are not there yet."""
+        rows = objects.select("object", "content", F.octet_length("content").cast("long").alias("size"), shard_prefix(F.col("object")).alias("prefix"))
+        self._write(new_objects(rows, self.read("objects").select("object")).repartition("prefix", F.pmod(F.xxhash64("object"), F.lit(self._parts()))), "objects")
+
+    def _parts(self) -> int:
+        """Tasks, and files, that a shard's rows are dealt to: 256 shards alone are few for a large cluster."""
+        return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 256)
+
+    def _dealt(self, df: DataFrame, *columns: str) -> DataFrame:
+        return df.repartition(*columns, F.pmod(F.xxhash64("path"), F.lit(self._parts())))
+
     def snapshots(self) -> DataFrame:
         return self.read("snapshots").orderBy("snapshot_id")
 
@@ -125,11 +143,21 @@ class Store:
         return self.files(snapshot_id).where(F.col("path") == path)
 
     def files_with_text(self, snapshot_id: str) -> DataFrame:
-        """(path, object, size, lang_hint, shard_id, text): text is null for what is not valid UTF-8."""
+        """(path, object, size, lang_hint, shard_id, text, missing): text is null for what is not valid UTF-8 and for what is
+        missing from the objects."""
         content = self.read("objects").select("object", "content", "prefix")
         index = self.files(snapshot_id)
-        rows = index.join(content, (index["object"] == content["object"]) & (index["shard_id"] == content["prefix"])).drop(content["object"])
-        return rows.select("path", "object", "size", "lang_hint", "shard_id", F.when(is_text(F.col("content")), F.col("content").cast("string")).alias("text"))
+        rows = index.join(content, (index["object"] == content["object"]) & (index["shard_id"] == content["prefix"]), "left").drop(content["object"])
+        text = F.when(is_text(F.col("content")), F.col("content").cast("string"))
+        return rows.select("path", "object", "size", "lang_hint", "shard_id", text.alias("text"), F.col("content").isNull().alias("missing"))
+
+    def save_facts(self, batch_id: str, facts: DataFrame) -> None:
+        """What parsing found, once for each object, for the tasks that follow."""
+        rows = facts.withColumns({"batch_id": F.lit(batch_id), "shard_id": shard_prefix(F.col("object"))})
+        self._write(rows.repartition("shard_id", F.pmod(F.xxhash64("object"), F.lit(self._parts()))).sortWithinPartitions("shard_id", "fact", "object", "seq"), "facts", "overwrite")
+
+    def facts(self, batch_id: str, shards: list[str]) -> DataFrame:
+        return self.read("facts").where((F.col("batch_id") == batch_id) & F.col("shard_id").isin(shards)).drop("batch_id", "shard_id")
 
     def object_bytes(self, ref: str) -> bytes:
         row = self.read("objects").where(F.col("object") == ref).select("content").first()
@@ -190,7 +218,7 @@ class Store:
 
     def commit(self, records: DataFrame) -> None:
         """Replaces the shards that have a record here. Shards without one stay: clear them with clear_shards first."""
-        self._write(records.repartition("task_id", "shard_id").sortWithinPartitions("task_id", "shard_id", "seq"), "outputs", "overwrite")
+        self._write(self._dealt(records, "task_id", "shard_id").sortWithinPartitions("task_id", "shard_id", "kind", "path", "seq"), "outputs", "overwrite")
 
     def clear_shards(self, batch_id: str, task_id: str, shards: list[str]) -> None:
         for s in shards:  # 256 at most

@@ -28,7 +28,7 @@ RECORD = {
     "value_num": "bigint",
     "value_str": "string",
 }
-#: What identifies the run that a record comes from. seq keeps the order of a task's records within a shard.
+#: What identifies the run that a record comes from. seq keeps the order of a task's records within a file.
 RUN = {"schema_version": "int", "snapshot_id": "string", "batch_id": "string", "task_id": "string", "shard_id": "string", "seq": "bigint", "ts": "timestamp"}
 OUTPUTS = ", ".join(f"{k} {t}" for k, t in (RUN | RECORD | {"extra": "string"}).items())
 SCHEMA_VERSION = 1

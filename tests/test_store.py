@@ -1,7 +1,9 @@
 """A store from a directory to answers: snapshot, run, resume, retry, index, gates, command line."""
 
+import ast
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,7 +58,7 @@ def test_snapshot(world):
     rows = {r["path"]: r for r in store.files("snap-1").collect()}
     assert set(rows) == set(FILES) - {".hidden/secret.txt"}
     assert rows["empty.txt"]["object"].startswith("sha256:e3b0c442") and rows["empty.txt"]["size"] == 0
-    assert rows["hello.py"]["object"] == rows["copy/hello.py"]["object"] and store.read("objects").count() == len({r["object"] for r in rows.values()})
+    assert rows["hello.py"]["object"] == rows["copy/hello.py"]["object"] and store.read("objects").where(F.col("object").isin([r["object"] for r in rows.values()])).count() == len({r["object"] for r in rows.values()})
     assert rows["app.js"]["lang_hint"] == "javascript" and rows["binary.bin"]["lang_hint"] is None
     meta = store.load_snapshot("snap-1").first()
     assert (meta["file_count"], meta["total_bytes"], meta["warnings"]) == (len(rows), sum(len(v) for k, v in FILES.items() if not k.startswith(".")), [])
@@ -106,7 +108,7 @@ def test_failure_reset_and_retry_give_the_same(world, monkeypatch):
     runtime.run(store, "batch-2", ["01_parse"])
     shard = store.files("snap-1").where("path = 'hello.py'").first()["shard_id"]
     with monkeypatch.context() as m:
-        m.setitem(runtime.EXECUTORS, "analyze", lambda files, config: files.select("nothing"))
+        m.setitem(runtime.EXECUTORS, "analyze", lambda files, facts, config: files.select("nothing"))
         assert runtime.run(store, "batch-2")["02_analyze"] == "failed"
     assert runtime.batch_status(store, "batch-2") == "failed"
     state = runtime.shards(store, "batch-2", "02_analyze", "failed").where(F.col("shard_id") == shard).first()
@@ -122,6 +124,56 @@ def test_failure_reset_and_retry_give_the_same(world, monkeypatch):
     assert canonical(store.outputs("batch-2")) == before  # replaced, not appended
 
 
+def test_stored_trees(world):
+    store, _ = world
+    records = {r["path"]: r for r in store.outputs("batch-1", "01_parse", kind="ast").collect()}
+    tree = json.loads(store.object_bytes(records["hello.py"]["object"]))
+    assert (tree["type"], tree["ast_mode"], records["hello.py"]["format"]) == ("Module", "full", "json")
+    assert tree["stats"]["total_nodes"] == sum(1 for _ in ast.walk(ast.parse(FILES["hello.py"])))
+    greet = tree["body"][2]
+    assert (greet["name"], greet["args"], greet["end_lineno"]) == ("greet", {"args": [{"arg": "name", "annotation": None}]}, 6)
+    assert greet["body"][0]["targets"][0]["id"] == "unused" and tree["body"][3]["value"]["func"]["id"] == "print"
+    assert json.loads(store.object_bytes(records["emoji_\U0001f389.md"]["object"]))["type"] == "TextInfo"
+    assert store.facts("batch-1", [store.get_file("snap-1", "bad.py").first()["shard_id"]]).where("fact = 'error'").count() == 1
+
+
+def test_trees_in_chunks(world):
+    store, _ = world
+    register("chunked", "", [{"task_id": "01_parse", "type": "parse", "depends_on": [], "config": {"chunk_threshold": 200}}])
+    store.init_batch("snap-1", "chunked", "batch-chunks")
+    assert runtime.run(store, "batch-chunks") == {"01_parse": "done"}
+    whole = {r["path"]: r["object"] for r in store.outputs("batch-1", "01_parse", kind="ast").collect()}
+    record = store.outputs("batch-chunks", kind="ast").where("path = 'hello.py'").first()
+    manifest = json.loads(store.object_bytes(record["object"]))
+    assert record["format"] == "json+chunks" and [c["index"] for c in manifest["chunks"]] == list(range(len(manifest["chunks"])))
+    assert b"".join(store.object_bytes(c["object"]) for c in manifest["chunks"]) == store.object_bytes(whole["hello.py"])
+
+
+def test_one_bad_file_or_shard_leaves_the_others(spark, tmp_path, monkeypatch):
+    make_tree(tmp_path / "src")
+    store = Store.init(spark, str(tmp_path / "store"))
+    store.snapshot(str(tmp_path / "src"), "s")
+    store.init_batch("s", "full", "b")
+    lost, poison = store.get_file("s", "crlf.txt").first(), store.get_file("s", "app.js").first()["shard_id"]
+    path = f"{store.root}/objects/prefix={lost['shard_id']}"
+    assert store.read("objects").where(F.col("prefix") == lost["shard_id"]).count() == 1
+    shutil.rmtree(path.removeprefix("file:"))
+
+    def poisoned(files, facts, config):
+        return runtime.analyze_task(files.withColumn("size", F.when(F.col("shard_id") == poison, F.raise_error(F.lit("poison")).cast("long")).otherwise(F.col("size"))), facts, config)
+
+    monkeypatch.setitem(runtime.EXECUTORS, "analyze", poisoned)
+    seen = []
+    ended = runtime.run(store, "b", on_shard=lambda task, shard, how: seen.append((task, shard, how)))
+    assert ended == {"01_parse": "done", "02_analyze": "failed", "03_symbols": "done", "04_lint": "done"}
+    states = {(r["task_id"], r["shard_id"]): r["status"] for r in store.states("b").where("task_id = '02_analyze' and status <> 'ready'").collect()}
+    assert {s for s in states.values()} == {"done", "failed"} and [k for k, v in states.items() if v == "failed"] == [("02_analyze", poison)]
+    assert [x for x in seen if x[2] == "failed"] == [("02_analyze", poison, "failed")] and len(seen) == 4 * len(states)
+    found = {(r["code"], r["path"]) for r in query.diagnostics(store.outputs("b"), severity="error").collect()}
+    assert found == {("E9999", "crlf.txt"), ("L999", "crlf.txt"), ("E0001", "bad.py")}
+    assert store.outputs("b", "02_analyze").where("path = 'hello.py' and metric = 'complexity'").count() == 1
+
+
 def test_dependencies_are_enforced(world):
     store, _ = world
     store.init_batch("snap-1", "full", "batch-3")
