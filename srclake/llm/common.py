@@ -20,13 +20,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Only where that is unset (tests on one
-    machine) a temporary folder is made and set."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder is made
+    and set if all executors are on this machine; on a cluster it is an error, since rows would be lost."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="srclake-")
         spark.sparkContext.setCheckpointDir(path)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()

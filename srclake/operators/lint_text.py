@@ -37,16 +37,24 @@ def _body(line: Column) -> Column:
     return F.regexp_replace(line, r"\r+$", "")
 
 
-def trailing_whitespace(lines: Column) -> Column:
-    return _each(lines, lambda x: _body(x).rlike(f"{SPACE}$"), severity="warning", code="L001", message="Trailing whitespace", col=lambda x: F.length(F.regexp_replace(_body(x), f"{SPACE}+$", "")) + 1)
+def _where(found: Column, lines: Column, make) -> Column:
+    """Line by line only if the text as a whole has something to find."""
+    return F.when(found, make(lines)).otherwise(_none())
 
 
-def long_lines(lines: Column, longest: int) -> Column:
+def trailing_whitespace(text: Column, lines: Column) -> Column:
+    ends = lambda x: F.length(F.regexp_replace(_body(x), f"{SPACE}+$", "")) + 1
+    make = lambda rows: _each(rows, lambda x: x.rlike(f"{SPACE}\\r*$") & _body(x).rlike(f"{SPACE}$"), severity="warning", code="L001", message="Trailing whitespace", col=ends)
+    return _where(text.rlike(f"{SPACE}\\r*(?:\n|$)"), lines, make)
+
+
+def long_lines(text: Column, lines: Column, longest: int) -> Column:
     message = lambda x: F.format_string(f"Line too long (%d > {longest})", F.length(_body(x)))
-    return _each(lines, lambda x: F.length(_body(x)) > longest, severity="warning", code="L002", message=message, col=longest + 1)
+    make = lambda rows: _each(rows, lambda x: (F.length(x) > longest) & (F.length(_body(x)) > longest), severity="warning", code="L002", message=message, col=longest + 1)
+    return _where(F.length(text) > longest, lines, make)
 
 
-def markers(lines: Column) -> Column:
+def markers(text: Column, lines: Column) -> Column:
     def first(line: Column, found) -> Column:
         out = F
         for m in MARKERS:
@@ -56,17 +64,21 @@ def markers(lines: Column) -> Column:
     has = lambda x: F.upper(x).rlike("|".join(MARKERS))
     message = lambda x: first(x, lambda m, _: F.lit(f"Found {m} comment"))
     place = lambda x: first(x, lambda m, line: F.instr(F.upper(line), m))
-    return _each(lines, has, severity="info", code="L003", message=message, col=place)
+    return _where(has(text), lines, lambda rows: _each(rows, has, severity="info", code="L003", message=message, col=place))
+
+
+def tab_indentation(text: Column, lines: Column) -> Column:
+    make = lambda rows: _each(rows, lambda x: x.startswith("\t"), severity="warning", code="L004", message="Tab indentation (prefer spaces)", col=1)
+    return _where(text.contains("\t"), lines, make)
 
 
-def tab_indentation(lines: Column) -> Column:
-    return _each(lines, lambda x: x.startswith("\t"), severity="warning", code="L004", message="Tab indentation (prefer spaces)", col=1)
+def final_newline(text: Column, lines: Column) -> Column:
+    one = record(kind="diagnostic", path=F.col("path"), severity="warning", code="L005", message="Missing newline at end of file", line=F.size(lines), col=F.length(F.element_at(lines, -1)) + 1)
+    return F.when((text != "") & ~text.endswith("\n"), F.array(one)).otherwise(_none())
 
 
-def final_newline(text: Column) -> Column:
-    last = F.element_at(lines_of(text), -1)
-    one = record(kind="diagnostic", path=F.col("path"), severity="warning", code="L005", message="Missing newline at end of file", line=F.size(lines_of(text)), col=F.length(last) + 1)
-    return F.when((text != "") & ~text.endswith("\n"), F.array(one)).otherwise(F.array().cast(f"array<{_type()}>"))
+def _none() -> Column:
+    return F.array().cast(f"array<{_type()}>")
 
 
 def _type() -> str:
@@ -77,12 +89,12 @@ def text_diagnostics(files: DataFrame, config: TextLint = TextLint()) -> DataFra
     """The diagnostics of files(path, text, shard_id); files without text (binary ones) have none."""
     lines, text = F.col("all_lines"), F.col("text")
     rules = [
-        (config.check_trailing_whitespace, lambda: trailing_whitespace(lines)),
-        (config.check_line_length, lambda: long_lines(lines, config.max_line_length)),
-        (config.check_todo, lambda: markers(lines)),
-        (config.check_tab_indentation, lambda: tab_indentation(lines)),
-        (config.check_final_newline, lambda: final_newline(text)),
+        (config.check_trailing_whitespace, lambda: trailing_whitespace(text, lines)),
+        (config.check_line_length, lambda: long_lines(text, lines, config.max_line_length)),
+        (config.check_todo, lambda: markers(text, lines)),
+        (config.check_tab_indentation, lambda: tab_indentation(text, lines)),
+        (config.check_final_newline, lambda: final_newline(text, lines)),
     ]
-    chosen = [rule() for on, rule in rules if on] or [F.array().cast(f"array<{_type()}>")]
+    chosen = [rule() for on, rule in rules if on] or [_none()]
     rows = files.where("text is not null").select("shard_id", "path", "text", lines_of(text).alias("all_lines"))
     return explode_records(rows, F.concat(*chosen))

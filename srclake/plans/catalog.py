@@ -6,7 +6,7 @@ is no multiple of 11, with some severities changed, so that comparing them finds
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -146,10 +146,15 @@ def _lang(spark, d):
     return corpus(spark, d).groupBy(F.coalesce("lang_hint", F.lit("unknown")).alias("lang")).agg(F.count("*").alias("n"))
 
 
-@add("case_collisions", "WITH p AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END || '/' || doc_id // 4 AS path FROM documents) SELECT a.path AS first, b.path AS second FROM p a JOIN p b ON lower(a.path) = lower(b.path) AND a.path < b.path")
+_cased = "CASE WHEN doc_id % 2 = 0 THEN upper('src/' || lang) ELSE 'src/' || lang END || '/' || doc_id // 3"
+
+
+@add("case_collisions", f"WITH p AS (SELECT DISTINCT {_cased} AS path FROM documents) SELECT a.path AS first, b.path AS second FROM p a JOIN p b ON lower(a.path) = lower(b.path) AND a.path < b.path")
 def _collisions(spark, d):
+    """Of paths that three documents in a row share, but for their language and, by turns, their case."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    path = F.concat(F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.col("source")), F.lit("/"), F.floor(F.col("doc_id") / 4).cast("string"))
+    folder = F.concat(F.lit("src/"), "lang")
+    path = F.concat(F.when(F.col("doc_id") % 2 == 0, F.upper(folder)).otherwise(folder), F.lit("/"), F.floor(F.col("doc_id") / 3).cast("string"))
     return file_ops.case_collisions(docs.select(path.alias("path"), F.lower(path).alias("path_key")))
 
 
@@ -172,15 +177,32 @@ def _refs(spark, d):
     return corpus(spark, d).select("path", scalar.ref_hex(F.col("object")).alias("hex"), scalar.shard_prefix(F.col("object")).alias("prefix"))
 
 
-@add("human_sizes", f"WITH {FILES} SELECT path, CASE WHEN size < 1024 THEN size || ' B' ELSE printf('%.1f KB', size / 1024.0) END AS size_text FROM files WHERE size < 1048576")
+_scaled = "SELECT path, f, size * f AS n FROM files, (VALUES (CAST(1 AS BIGINT)), (1000), (1000000), (1000000000)) AS v(f)"
+_units = " ".join(f"WHEN n < {1024 ** (k + 1)} THEN printf('%.1f {u}', n / {1024**k}.0)" for k, u in enumerate(("KB", "MB", "GB"), 1))
+
+
+@add("human_sizes", f"WITH {FILES}, s AS ({_scaled}) SELECT path, f AS factor, CASE WHEN n < 1024 THEN n || ' B' {_units} ELSE printf('%.1f TB', n / {1024**4}.0) END AS size_text FROM s")
 def _human(spark, d):
-    return corpus(spark, d).where("size < 1048576").select("path", scalar.human_size(F.col("size")).alias("size_text"))
+    """Of sizes and their multiples, so that all units occur."""
+    factors = F.array(*[F.lit(x).cast("long") for x in (1, 1000, 1_000_000, 1_000_000_000)])
+    rows = corpus(spark, d).select("path", "size", F.explode(factors).alias("factor"))
+    return rows.select("path", "factor", scalar.human_size(F.col("size") * F.col("factor")).alias("size_text"))
+
 
+_part = "substr(h, i * 2000 + 1, 2000)"
 
-@add("chunk_manifest", f"WITH {FILES}, c AS (SELECT path, text, unnest(range(0, (greatest(length(text), 1) + 999) // 1000)) AS i FROM files WHERE length(text) = size) SELECT path, CAST(i AS BIGINT) AS index, 'sha256:' || sha256(substr(text, i * 1000 + 1, 1000)) AS object, CAST(length(substr(text, i * 1000 + 1, 1000)) AS BIGINT) AS size FROM c")
+
+@add("chunk_manifest", f"WITH {FILES}, c AS (SELECT path, hex(encode(text)) AS h, unnest(range(0, (greatest(size, 1) + 999) // 1000)) AS i FROM files) SELECT path, CAST(i AS BIGINT) AS index, 'sha256:' || sha256(unhex({_part})) AS object, CAST(length({_part}) // 2 AS BIGINT) AS size FROM c WHERE h <> ''")
 def _chunks(spark, d):
-    files = corpus(spark, d).where("char_length(text) = size")
-    return files.select("path", F.explode(parse.chunks(F.col("text").cast("binary"), 1000)).alias("c")).select("path", "c.index", "c.object", "c.size")
+    return corpus(spark, d).select("path", F.explode(parse.chunks(F.col("text").cast("binary"), 1000)).alias("c")).select("path", "c.index", "c.object", "c.size")
+
+
+@add("tree_objects", f"""WITH {FILES}, t AS (SELECT DISTINCT '{{"ast_mode":"text_stats","stats":{{"lines":' || len(string_split(text, chr(10))) || ',"words":' || len(regexp_extract_all(text, '\\S+')) || ',"characters":' || length(text) || ',"non_empty_lines":' || len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) || '}},"type":"TextInfo"}}' AS tree FROM files WHERE coalesce(lang_hint, '') NOT IN ('python', 'javascript')) SELECT 'sha256:' || sha256(tree) AS object, CAST(strlen(tree) AS BIGINT) AS size FROM t""")
+def _tree_objects(spark, d):
+    """What the parse task stores for the trees of text files, once for each different tree."""
+    files = corpus(spark, d)
+    objects = parse.tree_objects(parse.trees(files.where("lang_hint is distinct from 'javascript'")))
+    return file_ops.new_objects(objects, spark.createDataFrame([], "object string")).select("object", F.octet_length("content").cast("long").alias("size"))
 
 
 # parse, analyze, lint
@@ -201,10 +223,10 @@ def _basic(spark, d):
     return parse.basic_metrics(corpus(spark, d)).select("path", "metric", "value_num", "value_str")
 
 
-@add("js_tokens", f"WITH {FILES} SELECT path, {', '.join(f'{v} AS {k}' for k, v in _count.items())} FROM files WHERE lang_hint = 'javascript' AND length(text) = size")
+@add("js_tokens")
 def _tokens(spark, d):
-    """Of ASCII texts: in others the SQL engine's word boundaries are not Unicode ones."""
-    return parse.token_info(corpus(spark, d)).where("stats.characters = size").select("path", *[F.col(f"tokens.{k}").alias(k) for k in TOKENS])
+    """The SQL engine's word boundaries are not Unicode ones; tests hold the counts against patterns in Python."""
+    return parse.token_info(corpus(spark, d)).select("path", *[F.col(f"tokens.{k}").alias(k) for k in TOKENS])
 
 
 _SCRIPTS = [("a.js", "const a = 'x\\'y' + \"z\"; // {", 2), ("b.js", "let b = {};", 0), ("c.ts", "f('', \"it's\", '')", 3)]
@@ -502,9 +524,5 @@ def _windows(spark, d):
 
 
 def _streamed(spark: SparkSession, d: str, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="srclake-")
-    table = f"stream_{name}_{abs(hash((d, spark.sparkContext.applicationId))) % 10**8}"
-    event_streams.run_available(make(events), table, f"{base}/{table}-{spark.range(1).select(F.uuid()).first()[0]}")
-    return spark.table(table)
+    events = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    return event_streams.finished(make(events), f"{event_streams.shared_dir(spark)}/srclake-stream-{name}-{uuid.uuid4().hex}")
