@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import json
 import time
 from collections.abc import Callable
@@ -10,6 +11,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import functions as F
 
+from srclake.operators import diff, query
 from srclake.operators import files as file_ops
 from srclake.plans import index, registry, runtime
 from srclake.plans.errors import EngineError
@@ -27,6 +29,7 @@ class Gate:
     tags: tuple[str, ...]
     needs_batch: bool
     check: Check = field(repr=False)
+    aliases: tuple[str, ...] = ()
 
 
 @dataclass
@@ -43,13 +46,29 @@ class Result:
 
 
 GATES: dict[str, Gate] = {}
+#: Other names of gates.
+ALIASES = {
+    "P1-G1": ("store-schema",),
+    "P2-G1": ("pipeline-exec",),
+    "P2-G6": ("truth-guard",),
+    "P2-G7": ("deps-check",),
+    "P3-A1": ("A1", "cache-equiv"),
+    "P3-A2": ("A2", "cache-fallback"),
+    "P3-A3": ("A3", "cache-rebuild"),
+    "P3-A4": ("A4", "cache-guard"),
+    "P5-G1": ("workflow-equiv",),
+    "P5-G2": ("no-new-truth",),
+    "P5-G3": ("resume-equiv",),
+    "P5-G4": ("discover",),
+    "P5-G5": ("ux-smoke",),
+}
 
 
 def gate(gate_id: str, title: str, *tags: str, enforced: bool = True, needs_batch: bool = True) -> Callable[[Check], Check]:
     """Registers a check; its phase is the number in its id."""
 
     def add(check: Check) -> Check:
-        GATES[gate_id] = Gate(gate_id, title, f"phase{gate_id[1]}", enforced, (f"phase{gate_id[1]}", *tags), needs_batch, check)
+        GATES[gate_id] = Gate(gate_id, title, f"phase{gate_id[1]}", enforced, (f"phase{gate_id[1]}", *tags), needs_batch, check, ALIASES.get(gate_id, ()))
         return check
 
     return add
@@ -90,9 +109,13 @@ def _equal(store: Store, batch: str) -> list[str]:
 
 @gate("P3-A2", "Cache deletion fallback", "cache", "fallback")
 def _fallback(store: Store, batch: str) -> list[str]:
+    there = index.is_valid(store, batch)
     before = {tuple(r) for r in index.stats(store, batch, "kind").collect()}
     index.delete(store, batch)
-    return [] if {tuple(r) for r in index.stats(store, batch, "kind").collect()} == before else ["counts by kind change without the index"]
+    after = {tuple(r) for r in index.stats(store, batch, "kind").collect()}
+    if there:
+        index.build(store, batch)  # as it was
+    return [] if after == before else ["counts by kind change without the index"]
 
 
 @gate("P3-A3", "Deterministic rebuild", "cache", "determinism")
@@ -108,21 +131,35 @@ def _no_side_effect(store: Store, batch: str) -> list[str]:
 
 
 @gate("P5-G1", "No semantic changes", "semantics", "equivalence")
-def _events_unused(store: Store, batch: str) -> list[str]:
-    counts = {r["value"]: r["n"] for r in index.stats(store, batch, "kind", use_index=False).collect()}
-    return [] if sum(counts.values()) == store.outputs(batch).count() else ["counts do not add up"]
+def _same_counts(store: Store, batch: str) -> list[str]:
+    """Counts of all groups at once, as the index has them, against a count of each group."""
+    records, files = store.outputs(batch), store.files(store.load_batch(batch)["snapshot_id"])
+    at_once = query.stats_all(records, files, index.GROUPS).groupBy("group", "value").agg(F.sum("n").alias("n"))
+    each = [query.stats(records, g, files).select(F.lit(g).alias("group"), "value", "n") for g in index.GROUPS]
+    wrong = functools.reduce(lambda a, b: a.unionAll(b), each).exceptAll(at_once).select("group").distinct().collect()
+    return [f"counts by {r['group']} differ" for r in wrong]
 
 
 @gate("P5-G2", "No new truth stores", "truth", "filesystem", needs_batch=False)
 def _no_new(store: Store, _: str | None) -> list[str]:
-    return _known(store, None)
+    """Records, facts, states and events are of batches that are known, and batches of snapshots that are."""
+    batches = store.read("batches").select("batch_id")
+    tables = [t for t in ("tasks", "states", "events", "outputs", "facts") if store.has(t)]
+    stray = [f"{t} has batch {r[0]}, which is not known" for t in tables for r in store.read(t).select("batch_id").distinct().join(batches, "batch_id", "left_anti").limit(5).collect()]
+    lost = store.read("batches").join(store.read("snapshots").select("snapshot_id"), "snapshot_id", "left_anti").limit(5)
+    return stray + [f"batch {r['batch_id']} has no snapshot" for r in lost.collect()]
 
 
 @gate("P5-G3", "Determinism preserved", "determinism", "resume", enforced=False)
-def _resume(store: Store, batch: str) -> list[str]:
-    before = index.source_fingerprint(store, batch)
-    runtime.run(store, batch)
-    return [] if index.source_fingerprint(store, batch) == before else ["resuming changed the records"]
+def _again(store: Store, batch: str) -> list[str]:
+    """The records of all shards that are done, made again, are those that are stored. Nothing is written."""
+    wrong = []
+    for task in store.tasks(batch).collect():
+        done = sorted(r["shard_id"] for r in store.states(batch).where((F.col("task_id") == task["task_id"]) & (F.col("status") == "done")).collect())
+        again = runtime.records(store, batch, task, done)
+        if not diff.equivalent(again, store.outputs(batch, task["task_id"]).where(F.col("shard_id").isin(done))):
+            wrong.append(f"{task['task_id']} gives other records")
+    return wrong
 
 
 @gate("P5-G4", "Discoverability coverage", "discoverability", "cli", needs_batch=False)
@@ -143,8 +180,8 @@ def listed(status: str | None = None, tag: str | None = None, phase: str | None
 
 
 def find(gate_id: str) -> Gate:
-    """By id, whatever its case and separators; an unknown one is an error that names similar ones."""
-    plain = {g.replace("-", "").lower(): g for g in GATES}
+    """By id or alias, whatever its case and separators; an unknown one is an error that names similar ones."""
+    plain = {n.replace("-", "").lower(): g for g, x in GATES.items() for n in (g, *x.aliases)}
     key = gate_id.replace("-", "").replace("_", "").lower()
     if key in plain:
         return GATES[plain[key]]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from srclake.operators import query
 from srclake.operators.files import fingerprint
 from srclake.plans.store import Store, _path
-from srclake.schemas import RECORD
+from srclake.schemas import RECORD, RUN
 
 SCHEMA_VERSION = 1
 GROUPS = ("kind", "lang", "severity", "code")
@@ -31,6 +31,9 @@ def build(store: Store, batch_id: str, verify: bool = False) -> dict:
     stats = query.stats_all(store.outputs(batch_id), store.files(snapshot), GROUPS)
     stats.coalesce(1).write.mode("overwrite").parquet(f"{_folder(store, batch_id)}/stats")
     tasks = sorted(r["task_id"] for r in store.tasks(batch_id).collect())
+    # Records by task, kind and severity: what filters on those reads is a folder.
+    rows = store.outputs(batch_id).withColumn("severity_folder", F.coalesce("severity", F.lit("none")))
+    rows.drop("batch_id").repartition("task_id", "kind", "severity_folder", F.pmod(F.xxhash64("path"), F.lit(store._parts()))).sortWithinPartitions("path", "seq").write.mode("overwrite").partitionBy("task_id", "kind", "severity_folder").parquet(f"{_folder(store, batch_id)}/records")
     meta = (SCHEMA_VERSION, snapshot, batch_id, tasks, source_fingerprint(store, batch_id))
     frame = store.spark.createDataFrame([meta], "cache_schema_version int, snapshot_id string, batch_id string, tasks array<string>, fingerprint string")
     frame.withColumn("built_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{_folder(store, batch_id)}/meta")
@@ -72,6 +75,25 @@ def stats(store: Store, batch_id: str, group: str, task_id: str | None = None, u
     return query.stats(store.outputs(batch_id, task_id), group, store.files(store.load_batch(batch_id)["snapshot_id"]))
 
 
+def _records(store: Store, batch_id: str) -> DataFrame:
+    return store.spark.read.schema(", ".join(f"{k} {t}" for k, t in (RUN | RECORD).items() if k != "batch_id") + ", extra string, severity_folder string").parquet(f"{_folder(store, batch_id)}/records")
+
+
+def outputs_by_kind(store: Store, batch_id: str, task_id: str, kind: str | None = None) -> DataFrame:
+    """(path, kind, object, format, seq) of a task's records: from the index if it is valid, else from the records."""
+    rows = _records(store, batch_id) if is_valid(store, batch_id) else store.outputs(batch_id)
+    rows = rows.where(F.col("task_id") == task_id)
+    return (rows.where(F.col("kind") == kind) if kind else rows).select("path", "kind", "object", "format", "seq")
+
+
+def diagnostics_by_severity(store: Store, batch_id: str, task_id: str, severity: str | None = None) -> DataFrame:
+    """(path, severity, code, message, line, col, seq) of a task's diagnostics, likewise."""
+    valid = is_valid(store, batch_id)
+    rows = (_records(store, batch_id) if valid else store.outputs(batch_id)).where((F.col("task_id") == task_id) & (F.col("kind") == "diagnostic"))
+    folder = F.col("severity_folder" if valid else "severity")
+    return (rows.where(folder == severity) if severity else rows).select("path", "severity", "code", "message", "line", "col", "seq")
+
+
 def stat(store: Store, batch_id: str, group: str, value: str) -> int:
     row = stats(store, batch_id, group).where(F.col("value") == value).first()
     return row["n"] if row else 0

@@ -17,12 +17,22 @@ _COMMANDS = {
     "gate": {"gate-list": "List gates", "gate-run!": "Run a gate", "gate-bundle!": "Run a bundle of gates", "gate-explain": "Show a gate"},
     "meta": {"api": "Show capabilities", "diagnose": "Check a store"},
 }
+#: The version that all commands are there from.
+SINCE = "1.0"
 #: What identifies a record, by kind.
 CANONICAL_KEYS = {"ast": ("kind", "path", "object"), "diagnostic": ("kind", "path", "line", "col", "code"), "metric": ("kind", "path", "metric"), "symbol": ("kind", "path", "name", "line"), "edge": ("kind", "path")}
 
 
 def commands(group: str | None = None) -> list[dict]:
-    rows = [{"name": n.rstrip("!"), "description": d, "group": g, "read_only": not n.endswith("!")} for g, some in _COMMANDS.items() for n, d in some.items()]
+    """All commands with what they need and offer, as the command line has it."""
+    from srclake.plans.cli import ARGUMENTS, NO_STORE
+
+    def row(name: str, description: str, group: str) -> dict:
+        plain = name.rstrip("!")
+        needs = {"requires_store": plain not in NO_STORE, "requires_batch": "batch" in ARGUMENTS.get(plain, ())}
+        return {"name": plain, "description": description, "group": group, "read_only": plain == name, "supports_json": True, "supports_explain": plain in SOURCES, "since": SINCE} | needs
+
+    rows = [row(n, d, g) for g, some in _COMMANDS.items() for n, d in some.items()]
     return sorted((r for r in rows if not group or r["group"] == group), key=lambda r: r["name"])
 
 

@@ -98,6 +98,17 @@ def run_shards(store: Store, batch_id: str, task_id: str, shards: list[str], on_
     return "failed" if failed else "done"
 
 
+def _config(task) -> dict:
+    return {k: json.loads(v) for k, v in (task["config"] or {}).items()}
+
+
+def records(store: Store, batch_id: str, task, shards: list[str]) -> DataFrame:
+    """The records of a task over shards that are parsed, from the stored facts; nothing is stored."""
+    snapshot_id = store.load_batch(batch_id)["snapshot_id"]
+    files = store.files_with_text(snapshot_id).where(F.col("shard_id").isin(shards))
+    return enrich(EXECUTORS[task["type"]](files, store.facts(batch_id, shards), _config(task)), snapshot_id, batch_id, task["task_id"])
+
+
 def _settle(store: Store, batch, task, own: DataFrame, shards: list[str]) -> set[str]:
     """Runs the shards in one job, or, where that fails, in halves; returns those that failed."""
     batch_id, task_id, began = batch["batch_id"], task["task_id"], time.time()
@@ -105,11 +116,11 @@ def _settle(store: Store, batch, task, own: DataFrame, shards: list[str]) -> set
     took = lambda: F.lit(int(1000 * (time.time() - began)))
     try:
         files = store.files_with_text(batch["snapshot_id"]).where(F.col("shard_id").isin(shards))
-        config = {k: json.loads(v) for k, v in (task["config"] or {}).items()}
+        config = _config(task)
         if task["type"] == "parse":
             store.save_facts(batch_id, python_facts.python_facts(files, config.get("full_ast", False)))
         facts = store.facts(batch_id, shards)
-        store.commit(enrich(EXECUTORS[task["type"]](files, facts, config), batch["snapshot_id"], batch_id, task_id))
+        store.commit(records(store, batch_id, task, shards))
         if task["type"] == "parse" and config.get("emit_ast", True):
             store.put(parse.tree_objects(trees(files, facts), config.get("chunk_threshold", parse.CHUNK)))
         written = store.outputs(batch_id, task_id).where(F.col("shard_id").isin(shards)).where(F.col("ts") >= F.timestamp_seconds(F.lit(int(began)))).groupBy("shard_id").agg(F.count("*").alias("outputs_written"))

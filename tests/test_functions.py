@@ -1,5 +1,8 @@
 """Scalar functions, rules, Python facts and rendering on literal cases."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +66,15 @@ def test_small_functions(spark):
     assert [(c["index"], c["size"]) for c in one(spark, parse.chunks(F.col("b"), 4), b=bytearray(b"123456789"))] == [(0, 4), (1, 4), (2, 1)]
 
 
+def test_script_tokens_of_any_text(spark):
+    rng = random.Random(4)
+    parts = ["const", "let", " ", "é", "ü1", "$x", "_", "9", "1.5", "٣", "'a'", '"b\\""', "// c\n", "/* d\n */", "\n", ".", "漢", "if(", "for"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", scalar.token_counts(F.col("t")).alias("c"))
+    for r in df.collect():
+        assert r["c"].asDict() == {k: sum(1 for _ in re.finditer(p, texts[r["i"]])) for k, p in scalar.TOKENS.items()}, texts[r["i"]]
+
+
 def lint(spark, text, **config):
     df = spark.createDataFrame([("p", "00", text)], "path string, shard_id string, text string")
     return sorted((r["code"], r["line"], r["col"], r["message"]) for r in text_diagnostics(df, TextLint(**config)).collect())
@@ -119,6 +131,7 @@ def test_tables():
 
 def test_registry_and_errors():
     assert registry.command("diff")["read_only"] and not registry.command("run")["read_only"] and registry.command("nope") is None
+    assert registry.command("diff") | {"requires_store": True, "requires_batch": True, "supports_json": True, "supports_explain": True, "since": "1.0"} == registry.command("diff") and not registry.command("api")["requires_store"]
     assert {k["kind"] for k in registry.kinds()} == {"ast", "diagnostic", "metric", "symbol", "edge"}
     assert [t["task_id"] for t in registry.tasks()] == ["01_parse", "02_analyze", "03_symbols", "04_lint"] and registry.api()["gates"] == sorted(gates.GATES)
     assert {g.gate_id for g in gates.listed(phase="phase3")} == {"P3-A1", "P3-A2", "P3-A3", "P3-A4"} and gates.listed(tag="schema")[0].gate_id == "P1-G1"
@@ -132,10 +145,10 @@ def test_streams(spark, tmp_path):
     frame = spark.createDataFrame(rows, "s long, user string").select(F.timestamp_seconds("s").alias("ts"), "user")
     frame.coalesce(1).write.parquet(str(tmp_path / "events"))
     stream = events.read_events(spark, str(tmp_path / "events"), "ts timestamp, user string")
-    events.run_available(events.sessions(stream, "ts", "user"), "sessions", str(tmp_path / "c1"), "complete")
-    assert sorted((r["user"], r["n"]) for r in spark.table("sessions").collect()) == [("a", 1), ("a", 2), ("b", 1)]
-    events.run_available(events.windowed(stream, "ts", "user", "1 hour", "30 minutes"), "sliding", str(tmp_path / "c2"))
-    assert spark.table("sliding").agg(F.sum("n")).first()[0] == 8
+    events.run_available(events.sessions(stream, "ts", "user", late="0 seconds"), str(tmp_path / "c1"))
+    # What the watermark has not passed stays in the state: the last session is not written.
+    assert sorted((r["user"], r["n"]) for r in spark.read.parquet(str(tmp_path / "c1" / "result")).collect()) == [("a", 2), ("b", 1)]
+    assert events.finished(events.windowed(stream, "ts", "user", "1 hour", "30 minutes"), str(tmp_path / "c2")).agg(F.sum("n")).first()[0] == 8
     log = [(F.lit(1), "shard_started", "x"), (F.lit(2), "shard_completed", "x")]
     states = spark.createDataFrame([(k + 1, e, s, 1) for k, (_, e, s) in enumerate(log)], "s long, event string, shard_id string, attempt int").select(F.timestamp_seconds("s").alias("ts"), "event", F.lit("b").alias("batch_id"), F.lit("t").alias("task_id"), "shard_id", "attempt")
     assert [r["event"] for r in events.latest_states(states).collect()] == ["shard_completed"]

@@ -194,7 +194,11 @@ def test_index_agrees_with_scan(world):
         pairs = lambda cached, g=group: sorted(map(tuple, index.stats(store, "batch-1", g, use_index=cached).collect()))
         assert pairs(True) == pairs(False)
     assert index.stat(store, "batch-1", "severity", "error") == 1 and index.stat(store, "batch-1", "severity", "nope") == 0
+    by_kind = lambda: sorted(map(tuple, index.outputs_by_kind(store, "batch-1", "01_parse", "ast").collect()))
+    by_severity = lambda: sorted(map(tuple, index.diagnostics_by_severity(store, "batch-1", "04_lint", "info").collect()))
+    indexed = by_kind(), by_severity()
     index.delete(store, "batch-1")
+    assert indexed == (by_kind(), by_severity()) and all(indexed)
     assert not index.is_valid(store, "batch-1") and index.stat(store, "batch-1", "severity", "error") == 1
 
 
@@ -219,7 +223,7 @@ def test_gates(world):
         assert result.status == "passed", result
     bundle = gates.run_bundle(store, "phase3", "batch-1")
     assert bundle["ok"] and bundle["passed"] == 4
-    assert gates.run(store, "p2_g1").status == "skipped"
+    assert gates.run(store, "p2_g1").status == "skipped" and gates.find("cache-fallback").gate_id == "P3-A2"
     with pytest.raises(EngineError) as e:
         gates.find("P2-G11")
     assert any("P2-G1" in h for h in e.value.hints)
