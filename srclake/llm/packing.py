@@ -24,8 +24,6 @@ from srclake.llm.common import materialise, slices, text_bytes
 SIZE, END = 4096, 2
 #: Words of which a worker keeps the ids.
 CACHE = 1_000_000
-#: Ranks are dealt within parts of a length of about so many pieces, so that a common length does not meet in one task.
-PART = 100_000
 
 
 def pack_histogram(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
@@ -175,10 +173,10 @@ def _place(plan):
 
 def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to pieces(doc_id, start, length, ids_crc32, doc_tokens), which must stay as they are when
-    read again. Ranks within a length go by doc_id and start within parts of about PART pieces, and by part: there are as
-    many parts as the most common length needs."""
+    read again. Ranks within a length go by part, and within it by doc_id and start. A length of n pieces has as many parts as
+    a part has pieces, the root of n, so that neither the pieces nor the parts of a common length are many for a task."""
     lengths = materialise(pieces.groupBy("length").agg(F.count("*").alias("n")), "lengths")  # at most size rows
-    parts = lengths.select("length", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    parts = lengths.select("length", F.ceil(F.sqrt("n")).cast("int").alias("parts"))
     rows = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts")).cast("int"))
     counts = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
