@@ -136,7 +136,7 @@ def _pieces(key: str, spec, size: int, end: int, keep: bool):
             _encoders.clear()
             _encoders[key] = Encoder(spec.value)
         encoder, last = _encoders[key], np.array([end], np.uint32).tobytes()
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, 1 << 19):
             out = []
             for doc, ids in zip(b.column(0).to_pylist(), encoder.ids(b.column(1).to_pylist())):
                 ids += last
