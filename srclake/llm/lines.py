@@ -42,15 +42,16 @@ def _lead(masked: Column) -> Column:
 
 
 def _leaves(text: Column) -> Column:
-    """array<struct<line int, leaf long, full long, lead long>> of the lines with a word: the leaf by number of tokens and
-    first tokens, the whole masked line and its first tokens, as hashes."""
+    """array<struct<line int, leaf long, full binary, lead long>> of the lines with a word: the leaf by number of tokens and
+    first tokens, the whole masked line and its first tokens, as hashes. What is dropped goes by the whole line's, so that
+    one has 128 bits; lines whose leaves collide are told apart by their tokens."""
 
     def of(masked: Column) -> Column:
         lead = F.transform(masked, _lead)
         item = lambda g: lambda m, i: F.struct(
             i.alias("line"),
             F.xxhash64(F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))), g[i]).alias("leaf"),
-            F.xxhash64(m).alias("full"),
+            F.unhex(F.md5(m)).alias("full"),
             g[i].alias("lead"),
             m.alias("masked"),
         )
